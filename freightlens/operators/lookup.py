@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freightlens.session import reliable_checkpoint
+
 BROADCAST_ROWS = 500_000
 HOT_SHARE = 0.001
 
@@ -84,3 +86,20 @@ def _all_known(keys: Sequence[str]) -> Column:
     for key in keys:
         known = known & F.col(key).isNotNull()
     return known
+
+
+def stored(table: DataFrame) -> tuple[DataFrame, int]:
+    """A lookup table written to the checkpoint folder, and its row count."""
+    kept = reliable_checkpoint(table)
+    return kept, kept.count()
+
+
+def attach_aggregate(fact: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Give every row the aggregates of its group.
+
+    The groups are reduced first and joined back, not gathered in a window: a
+    window would bring all rows of a hot group into one task.
+    """
+    keys = list(keys)
+    table, rows = stored(fact.where(_all_known(keys)).groupBy(*keys).agg(*aggregates))
+    return attach(fact, table, keys, rows)

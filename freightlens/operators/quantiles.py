@@ -95,20 +95,23 @@ def quantile_edges(
     by: Sequence[str] = (),
     weight: str | None = None,
     hash_map_rows: int = HASH_MAP_ROWS,
+    keep: bool = True,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` as columns ``edges`` and
     ``rows``, one row per group of ``by``.
 
     NULL, NaN and infinite values and NULL groups are left out. ``weight`` names a
-    column of whole row counts.
+    column of whole row counts. ``keep=False`` reads the input once per step and
+    does not store its columns in between: for inputs cheap to read again.
     """
     value = F.col(value) if isinstance(value, str) else value
     keys = list(by) or ["__all"]
     count = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     group = [F.col(key) for key in by] or [F.lit(0).alias("__all")]
     # Kept for the following steps; filters on computed values stay above it.
-    kept = df.select(*group, clean(value).alias("__x"), count.alias("__w")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    kept = df.select(*group, clean(value).alias("__x"), count.alias("__w"))
+    if keep:
+        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
     rows = kept.where("__w > 0").na.drop(subset=[*keys, "__x"])
     try:
         if kept.count() <= hash_map_rows:
@@ -117,7 +120,8 @@ def quantile_edges(
             return reliable_checkpoint(small.select(*by, "edges", "rows"))
         return _narrowed(rows.withColumn("__c", _log_cell(F.col("__x"))), keys, list(by), probs)
     finally:
-        kept.unpersist()
+        if keep:
+            kept.unpersist()
 
 
 def _narrowed(rows: DataFrame, keys: list[str], by: list[str], probs: Sequence[float]) -> DataFrame:
