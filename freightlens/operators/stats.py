@@ -6,6 +6,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,9 +102,6 @@ def with_p_value(stats: DataFrame) -> DataFrame:
 
 
 def _t_tail(t: Column, freedom: Column) -> Column:
-    import numpy as np
-    import pandas as pd
-
     steps = 20_000
 
     def integral(low: float, high: float, power: float, log_scale: float) -> float:

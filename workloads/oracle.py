@@ -106,7 +106,8 @@ TABLES = {
     "regions": """select n_name as state, r_name as region from nation
       join region on n_regionkey=r_regionkey""",
     "types": """select order_id, payment_type, row_number() over (partition by order_id
-      order by count(*) desc, payment_type) as k from f_payments group by all""",
+      order by n desc, payment_type) as k from (select order_id, payment_type, count(*) as n
+      from f_payments group by order_id, payment_type)""",
     "pay": """select p.order_id, max(payment_installments) as payment_installments,
       any_value(t.payment_type) as payment_type, sum(payment_value) as payment_value,
       max(payment_sequential) as payment_sequential
@@ -469,9 +470,9 @@ def lowess_tables(x: str, frac: float, points: int) -> dict[str, str]:
     return {
         "xy": f"select {x} as x, cast({Y} as double) as y from star where {x} is not null",
         "total": f"select count(*) as n, cast(floor({frac}*count(*)+1e-10) as bigint) as k from xy",
-        "spots": f"""select row_number() over (order by at)-1 as g, at from
-          (select distinct unnest(quantile_cont(x, [{grid}])) as at from xy)""",
-        "dist": "select g, at, x-at as u, abs(x-at) as d, y from xy, spots",
+        "spots": f"""select row_number() over (order by pos)-1 as g, pos from
+          (select distinct unnest(quantile_cont(x, [{grid}])) as pos from xy)""",
+        "dist": "select g, pos, x-pos as u, abs(x-pos) as d, y from xy, spots",
         "reach": """select g, quantile_cont(d, (k-1)/cast(n-1 as double)) as h
           from (select g, d from dist) join total on true group by g, k, n""",
         "reach2": """select g, d as h from (select g, d, row_number() over
@@ -495,7 +496,7 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
     doubles = ["price", "freight_value", "seller_lat", "seller_lng", "customer_lat",
                "customer_lng", "payment_value", "review_score", "review_comment_length"]
     out["star_join"] = sql(
-        f"select star.* exclude ({', '.join(doubles)}, {Y}), {rs(4, *doubles)} from star")
+        f"select star.* exclude ({', '.join(doubles)}, {Y}), {rs(6, *doubles)} from star")
     out["category_translation"] = sql(
         "select upper(product_category_name) as product_category_name_english, "
         f"count(*) as items, {r('sum(round(price,4))', 'revenue', 2)} "
@@ -523,7 +524,7 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
         ("complexity_map", "category_complexity", ""),
         ("neighbour_flag", "is_neighboring_state", ""),
     ):
-        out[name] = rows(4, exact, inexact)
+        out[name] = rows(9 if name == "safe_ratios" else 4, exact, inexact)
 
     out["dropna_clean"] = sql(
         f"select {ROW}, {rs(4, 'product_weight_g', 'freight_value', 'price')} from feat "
@@ -744,11 +745,11 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
         return {
             "shape": f"select {key}count(x) as n, stddev_samp(x)*pow(count(x),-0.2) as h, "
                      f"min(x) as lo, max(x) as hi from xs {group}",
-            "laid": f"""select {key}g, lo-{cut}*h+g*((hi+{cut}*h)-(lo-{cut}*h))/{points - 1} as at,
+            "laid": f"""select {key}g, lo-{cut}*h+g*((hi+{cut}*h)-(lo-{cut}*h))/{points - 1} as pos,
               n, h from shape, (select unnest(range(0, {points})) as g)""",
             "counts": f"select {key}x, count(*) as w from xs group by all",
-            "dens": f"""select {key}g, any_value(at) as x,
-              sum(w*exp(-pow((at-x)/h,2)/2))/(any_value(n)*any_value(h)*sqrt(2*pi())) as density
+            "dens": f"""select {key}g, any_value(pos) as x,
+              sum(w*exp(-pow((pos-x)/h,2)/2))/(any_value(n)*any_value(h)*sqrt(2*pi())) as density
               from laid join counts {on} group by {key}g""",
         }
 
@@ -782,7 +783,7 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
         f"{r(f'avg({Y})-stddev_samp({Y})', 'low')}, {r(f'avg({Y})+stddev_samp({Y})', 'high')} "
         "from feat group by 1")
     out["lowess_curve"] = sql(
-        f"select cast(g as int) as g, {r('any_value(at)', 'x')}, "
+        f"select cast(g as int) as g, {r('any_value(pos)', 'x')}, "
         + r("(sum(w*u*u)*sum(w*y)-sum(w*u)*sum(w*u*y))/(sum(w)*sum(w*u*u)-sum(w*u)*sum(w*u))",
             "fit") + " from near group by g", lowess_tables("price", 0.15, 21))
 

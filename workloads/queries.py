@@ -141,7 +141,7 @@ def _(t):
     return reviews_per_order(t.tables.order_reviews)
 
 
-@query("star_join", 4)
+@query("star_join")
 def _(t):
     return build_star(t.tables)
 
@@ -187,7 +187,7 @@ row_query("direction_code", ["seller_to_customer_direction"])
 row_query("text_flags", [
     "seller_in_capital_city", "customer_in_capital_city", "is_same_city", "state_pair"])
 row_query("safe_ratios", [
-    "freight_ratio", "freight_per_km", "freight_per_weight", "price_per_km", "product_density"])
+    "freight_ratio", "freight_per_km", "freight_per_weight", "price_per_km", "product_density"], 9)
 row_query("log_features", [
     "log_distance", "log_weight", "log_volume", "log_freight", "log_clv", "log_surface_area",
     "log_days_since_launch", "log_approval_delay"])
