@@ -9,7 +9,12 @@ from __future__ import annotations
 Y = "estimated_delivery_days"
 
 
+SINGLE = -1
+
+
 def r(expression: str, name: str, digits: int = 6) -> str:
+    if digits == SINGLE:
+        return f"cast(cast({expression} as float) as double) as {name}"
     return f"round({expression}, {digits})+0.0 as {name}"
 
 
@@ -804,10 +809,10 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
         return sql(f"select {', '.join([ROW, *exact])}, "
                    f"{rs(digits, *[n for n in names if n not in ints])} from {source}", *more)
 
-    out["feature_layer_geo"] = layer(columns["geo"], 4, "feat")
-    out["feature_layer_product"] = layer(columns["product"], 3, "feat")
+    out["feature_layer_geo"] = layer(columns["geo"], SINGLE, "feat")
+    out["feature_layer_product"] = layer(columns["product"], SINGLE, "feat")
     out["feature_layer_time"] = layer(columns["time"], 4, "feat")
-    out["feature_layer_order"] = layer(columns["order"], 3, "ordered")
+    out["feature_layer_order"] = layer(columns["order"], SINGLE, "ordered")
     whole = fitted("feat", "ordered")
     out["feature_layer_seller"] = layer(columns["looked_up"], 4, "derived", whole)
     first = """select derived.*, log_clv*category_complexity as clv_x_complexity,
@@ -851,7 +856,7 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
     out["feature_layer_interactions"] = layer(
         columns["interactions"], 2, "snd", whole, {"fst": first, "snd": second})
     out["feature_layer_screening"] = sql(
-        f"select {ROW}, {rs(3, *columns['screened'])} from screened", SCREENING)
+        f"select {ROW}, {rs(SINGLE, *columns['screened'])} from screened", SCREENING)
     mix = "(order_id*7919+order_item_id*104729)%100"
     known = ("order_delivered_customer_date is not null and product_weight_g is not null "
              "and freight_value is not null and price is not null")

@@ -105,9 +105,19 @@ class Inputs:
             self.base, ["seller_id"], F.count("order_id").alias("seller_order_volume"))
 
 
+SINGLE = -1
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to decimals, or with ``SINGLE`` to single precision, where decimal
+    values such as prices lie on no rounding boundary."""
+    def short(column: Column) -> Column:
+        if digits == SINGLE:
+            return column.cast("float").cast("double")
+        return F.round(column, digits)
+
     return df.select(*[
-        F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        short(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f.name) for f in df.schema.fields
     ])
 
@@ -658,12 +668,12 @@ INTEGERS = [
     "daily_order_count", "product_catalog_age_days", "rare_route_flag",
 ]
 
-row_query("feature_layer_geo", GEO)
-row_query("feature_layer_product", PRODUCT, 3)
+row_query("feature_layer_geo", GEO, SINGLE)
+row_query("feature_layer_product", PRODUCT, SINGLE)
 row_query("feature_layer_time", TIME)
 
 
-@query("feature_layer_order", 3)
+@query("feature_layer_order", SINGLE)
 def _(t):
     return order_features(t.full_base).select(*ROW, *ORDER)
 
@@ -680,7 +690,7 @@ def _(t):
     return model.transform(t.full_base, base=False).select(*ROW, *INTERACTIONS)
 
 
-@query("feature_layer_screening", 3)
+@query("feature_layer_screening", SINGLE)
 def _(t):
     df = screening_features(t.star, FIXTURE_DOMAIN)
     return df.select(*ROW, *[F.col(c).cast("double").alias(c) for c in SCREENED])
