@@ -41,17 +41,15 @@ def group_means(df: DataFrame, keys: Sequence[str], y: str) -> DataFrame:
 def flag_contrast(df: DataFrame, flags: Sequence[str], y: str) -> DataFrame:
     """Mean of ``y`` with a flag set and not set, their difference and the number
     of rows that set it: all flags in one pass."""
-    parts = []
-    for name in flags:
-        on, off = F.col(name) == 1, F.col(name) == 0
-        parts.append(F.struct(
-            F.lit(name).alias("flag"),
-            F.avg(F.when(on, F.col(y))).alias("mean_on"),
-            F.avg(F.when(off, F.col(y))).alias("mean_off"),
-            F.sum(F.when(on, 1).otherwise(0)).alias("rows_on"),
-        ))
-    wide = df.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
-    return wide.withColumn("difference", F.col("mean_on") - F.col("mean_off"))
+    long = df.select(F.col(y).alias("__y"), *flags).unpivot(
+        ["__y"], list(flags), "flag", "__set")
+    on, off = F.col("__set") == 1, F.col("__set") == 0
+    contrast = long.groupBy("flag").agg(
+        F.avg(F.when(on, F.col("__y"))).alias("mean_on"),
+        F.avg(F.when(off, F.col("__y"))).alias("mean_off"),
+        F.sum(F.when(on, 1).otherwise(0)).alias("rows_on"),
+    )
+    return contrast.withColumn("difference", F.col("mean_on") - F.col("mean_off"))
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -63,19 +61,18 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def corr_table(df: DataFrame, features: Mapping[str, Column] | Sequence[str], y: str) -> DataFrame:
-    """Pearson r of every feature with ``y``: one pass, one row per feature."""
+    """Pearson r of every feature with ``y``: one pass, one row per feature. The
+    features become rows while reading and are summed before the shuffle, which
+    keeps the generated code small however many there are."""
     if not isinstance(features, Mapping):
         features = {name: F.col(name) for name in features}
-    target = clean(y)
-    parts = []
-    for name, column in features.items():
-        x = clean(column)
-        parts.append(F.struct(
-            F.lit(name).alias("feature"),
-            pearson(x, target).alias("r"),
-            F.count(F.when(x.isNotNull() & target.isNotNull(), 1)).alias("rows"),
-        ))
-    return df.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+    wide = df.select(
+        clean(y).alias("__y"), *[clean(column).alias(name) for name, column in features.items()])
+    long = wide.unpivot(["__y"], list(features), "feature", "__x")
+    x, target = F.col("__x"), F.col("__y")
+    return long.groupBy("feature").agg(
+        pearson(x, target).alias("r"),
+        F.count(F.when(x.isNotNull() & target.isNotNull(), 1)).alias("rows"))
 
 
 def t_statistic(r: Column, n: Column) -> Column:

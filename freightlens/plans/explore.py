@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +67,14 @@ def with_quantile_flags(
     df: DataFrame, flags: Mapping[str, tuple[str, float, str]] = QUANTILE_FLAGS
 ) -> DataFrame:
     added = {}
-    for name, (column, prob, side) in flags.items():
-        bound = F.lit(quantile(df, column, prob))
+    columns = {column for column, _, _ in flags.values()}
+    narrow = df.select(*[clean(c).alias(c) for c in sorted(columns)]).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    bounds = {
+        name: quantile(narrow, column, prob) for name, (column, prob, _) in flags.items()}
+    narrow.unpersist()
+    for name, (column, _, side) in flags.items():
+        bound = F.lit(bounds[name])
         value = clean(column)
         added[name] = flag(value < bound if side == "below" else value > bound)
     return df.withColumns(added)

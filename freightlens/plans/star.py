@@ -46,23 +46,23 @@ def _located(df: DataFrame, role: str, centroids: DataFrame) -> DataFrame:
 def build_star(tables: Tables, payments: bool = True, reviews: bool = True) -> DataFrame:
     """Join the source tables on order items.
 
-    Points are joined to the sellers and customers rather than to the items, so
-    the item table meets each key once. Payments and reviews are reduced to one
-    row per order first, which keeps the grain; they share the order key with the
-    orders and items, so the three joins use one partitioning.
+    Everything that has one row per order is put together first: the customer with
+    its point, and payments and reviews reduced to one row per order, which keeps
+    the item grain. The items, by far the largest table, then meet the orders in a
+    single join and are not moved again for the customers.
     """
     centroids = geo_centroids(tables.geolocation)
     sellers = _located(tables.sellers, "seller", centroids)
     customers = _located(tables.customers, "customer", centroids)
-    star = tables.order_items.join(tables.orders, "order_id")
+    orders = tables.orders.join(customers, "customer_id")
     if payments:
-        star = star.join(payments_per_order(tables.order_payments), "order_id", "left")
+        orders = orders.join(payments_per_order(tables.order_payments), "order_id", "left")
     if reviews:
-        star = star.join(reviews_per_order(tables.order_reviews), "order_id", "left")
+        orders = orders.join(reviews_per_order(tables.order_reviews), "order_id", "left")
     return (
-        star.join(tables.products, "product_id")
+        tables.order_items.join(orders, "order_id")
+        .join(tables.products, "product_id")
         .join(sellers, "seller_id")
-        .join(customers, "customer_id")
     )
 
 

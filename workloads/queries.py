@@ -92,7 +92,7 @@ class Inputs:
     def full_base(self) -> DataFrame:
         return base_features(self.star, FIXTURE_DOMAIN)
 
-    @cached_property
+    @property
     def volumes(self) -> DataFrame:
         return explore.with_volumes(self.base)
 
@@ -108,6 +108,17 @@ class Inputs:
 SINGLE = -1
 
 
+_PLANS: dict[tuple[str, str], Inputs] = {}
+
+
+def inputs(spark: SparkSession, folder: str) -> Inputs:
+    """The plans over one folder, built once per session; they hold no data."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _PLANS:
+        _PLANS[key] = Inputs(spark, folder)
+    return _PLANS[key]
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles to decimals, or with ``SINGLE`` to single precision, where decimal
     values such as prices lie on no rounding boundary."""
@@ -125,7 +136,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def query(name: str, digits: int = 6):
     def register(build: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return rounded(build(Inputs(spark, folder)), digits)
+            return rounded(build(inputs(spark, folder)), digits)
 
         run.__name__ = name
         QUERIES[name] = run
