@@ -91,6 +91,14 @@ def box_stats(df: DataFrame, group: str, y: str) -> DataFrame:
     ).where("count > 0")
 
 
+def _spread(counts: DataFrame) -> DataFrame:
+    """Over all cores: every row is about to meet a whole grid, so partitions that
+    are small in bytes are not small in work."""
+    spark = counts.sparkSession
+    return counts.repartition(max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _grid(low: Column, high: Column, points: int) -> Column:
     """``points`` evenly spaced positions as an array of (g, position)."""
     step = (high - low) / (points - 1)
@@ -109,7 +117,7 @@ def kde(
     """
     keys = list(by)
     known = df.select(*keys, clean(value).alias("x")).na.drop()
-    counts = known.groupBy(*keys, "x").agg(F.count("*").alias("w"))
+    counts = _spread(known.groupBy(*keys, "x").agg(F.count("*").alias("w")))
     shape = [F.count("x").alias("n"), F.stddev_samp("x").alias("s"),
              F.min("x").alias("lo"), F.max("x").alias("hi")]
     stats = known.groupBy(*keys).agg(*shape) if keys else known.agg(*shape)
@@ -151,7 +159,7 @@ def kde_2d(
     if det <= 0:
         return empty
     hx, hy = math.sqrt(xx), math.sqrt(yy)
-    counts = known.groupBy("x", "y").agg(F.count("*").alias("w"))
+    counts = _spread(known.groupBy("x", "y").agg(F.count("*").alias("w")))
     gx = _grid(F.lit(s["x0"] - cut * hx), F.lit(s["x1"] + cut * hx), points)
     gy = _grid(F.lit(s["y0"] - cut * hy), F.lit(s["y1"] + cut * hy), points)
     laid = counts.select("x", "y", "w", F.inline(gx)).withColumnsRenamed(

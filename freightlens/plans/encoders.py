@@ -6,6 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,11 @@ KEYS = {
     "day": ["purchase_date"],
 }
 WINDOW_DAYS = 7
+FITTED_COLUMNS = [
+    "order_id", "product_id", "seller_id", "seller_state", "customer_state", "state_pair",
+    "customer_city", "product_category_name", "product_photos_qty", "purchase_date",
+    "order_purchase_timestamp", "payment_installments", "review_score", "price", TARGET,
+]
 
 
 def daily_series(df: DataFrame, day: str = "purchase_date") -> DataFrame:
@@ -182,9 +188,12 @@ class FeatureEncoder:
     def fit(self, train: DataFrame, base: bool = False) -> EncoderModel:
         """``base`` says that the base features are already there."""
         df = train if base else base_features(train, self.domain)
+        # Eight aggregations read the same few columns: stored for the time being.
+        df = df.select(*FITTED_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
         tables, rows = {}, {}
         for name, table in _lookup_tables(df).items():
             tables[name], rows[name] = stored(table)
+        df.unpersist()
         scalars = {
             f"mean_{column}": tables[name].agg(F.avg(column)).first()[0]
             for column, name in MEAN_FILLED.items()
