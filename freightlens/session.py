@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ ADAPTIVE_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Start-up settings: checkpoint files are removed with the frames that read them.
+CLEANING_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the adaptive settings to a running session."""
@@ -29,22 +33,36 @@ def build_session(app: str = "freightlens", master: str | None = None, **conf) -
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    for key, value in CLEANING_CONF.items():
+        builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return tune(builder.getOrCreate())
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; fall back to a local
-    one only when the cluster names none (tests)."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of lineage cuts, as the cluster names it in
+    ``spark.checkpoint.dir``.
+
+    Where none is named a temporary folder serves, on a local master only: on a
+    cluster every machine would write to a disk of its own.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="freightlens-checkpoint-"))
+        if folder is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError(
+                    "spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="freightlens-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage there,
-    so that a lost executor costs a re-read and not a replay."""
+    so that a lost executor costs a re-read and not a replay. The files go when
+    the result is no longer referenced, if the session cleans checkpoints (see
+    ``CLEANING_CONF``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
