@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,19 @@ def build_session(app: str = "freightlens", master: str | None = None, **conf) -
     return tune(builder.getOrCreate())
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that functions
+    that run there find it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_freightlens_sent", False):
+        return
+    folder = tempfile.mkdtemp(prefix="freightlens-")
+    root = Path(__file__).resolve().parent.parent
+    context.addPyFile(shutil.make_archive(
+        f"{folder}/freightlens", "zip", root_dir=root, base_dir="freightlens"))
+    context._freightlens_sent = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of lineage cuts, as the cluster names it in
     ``spark.checkpoint.dir``.
