@@ -15,6 +15,7 @@ meeting does not grow with the square of the corpus.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,8 @@ from freightlens.llm.words import (
     BASES, RollingHash, WordHashes, chunks, inside, narrow, owners, split_words, utf8_values, widened,
 )
 
-PIECE_OCTETS = 8_000_000
+PIECE_OCTETS = 4_000_000
+BLOCK_OCTETS = 12_000_000
 BUCKET_WINDOWS = 400_000
 OCTETS_PER_WORD = 6
 
@@ -101,15 +103,39 @@ def _by_document(docs: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, by
         yield int(docs[start]), hashes[start:end].tobytes()
 
 
-def _settle(group: pa.Table) -> pa.Table:
-    """The windows of one bucket that a smaller document has, by document."""
-    done, hashes, docs = [], [], []
+def _block(doc_id: int, blocks: int) -> int:
+    return zlib.crc32(b"%d" % doc_id) % blocks
+
+
+def _settle(blocks: int):
+    """The windows of one bucket that a smaller document has, packed by block of
+    documents: ``docs`` and ``hashes`` side by side."""
+
+    def run(group: pa.Table) -> pa.Table:
+        docs, hashes = _settled(group)
+        values, inverse = np.unique(docs, return_inverse=True)
+        block = np.array([_block(int(d), blocks) for d in values], np.int64)[inverse]
+        order = np.argsort(block, kind="stable")
+        cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
+        parts = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
+        return pa.table({
+            "block": pa.array([int(block[p[0]]) for p in parts], pa.int64()),
+            "docs": pa.array([docs[p].tobytes() for p in parts], pa.binary()),
+            "hashes": pa.array([hashes[p].tobytes() for p in parts], pa.binary())})
+
+    return run
+
+
+def _settled(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    done_docs, done, hashes, docs = [], [], [], []
     for row in group.select(["hashes", "doc", "steps", "step"]).to_pylist():
         if row["step"]:
             hashes.append(np.frombuffer(row["hashes"], np.uint64))
             docs.append(row["doc"] + np.cumsum(widened(row["steps"], row["step"])))
         else:
-            done.append((row["doc"], row["hashes"]))
+            part = np.frombuffer(row["hashes"], np.uint64)
+            done_docs.append(np.full(len(part), row["doc"], np.int64))
+            done.append(part)
     if hashes:
         h, d = np.concatenate(hashes), np.concatenate(docs)
         order = np.lexsort((d, h))
@@ -117,21 +143,21 @@ def _settle(group: pa.Table) -> pa.Table:
         opens = np.append(True, h[1:] != h[:-1])
         smallest = d[np.maximum.accumulate(np.where(opens, np.arange(len(h)), 0))]
         later = d > smallest
-        done += _by_document(d[later], h[later])
-    return pa.table({
-        "doc_id": pa.array([x for x, _ in done], pa.int64()),
-        "hashes": pa.array([x for _, x in done], pa.binary())})
+        done_docs.append(d[later])
+        done.append(h[later])
+    return np.concatenate(done_docs), np.concatenate(done)
 
 
-def repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
-    """``doc_id, hashes``: the hashes (packed 64-bit integers, in parts) of every
-    window of a document that a document with a smaller ``doc_id`` has too."""
+def repeated_windows(docs: DataFrame, width: int, octets: int, blocks: int) -> DataFrame:
+    """``block, docs, hashes``: the hash of every window of a document that a document
+    with a smaller ``doc_id`` has too, as packed 64-bit integers, by block of documents
+    (``blocks`` of them, by crc32 of the id's text)."""
     known = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    octets = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, round(octets / OCTETS_PER_WORD / BUCKET_WINDOWS))
     claims = known.mapInArrow(
         _claims(width, buckets), "bucket long, hashes binary, doc long, steps binary, step int")
-    return claims.groupBy("bucket").applyInArrow(_settle, "doc_id long, hashes binary")
+    return claims.groupBy("bucket").applyInArrow(
+        _settle(blocks), "block long, docs binary, hashes binary")
 
 
 def _cut(width: int):
@@ -140,18 +166,24 @@ def _cut(width: int):
         ("n_removed", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = WindowHashes(width)
-        for batch in chunks(batches, "text", PIECE_OCTETS):
+    hashing = WindowHashes(width)
+
+    def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
+        owner = np.frombuffer(b"".join(gone.column("docs").to_pylist()), np.int64)
+        hashes = np.frombuffer(b"".join(gone.column("hashes").to_pylist()), np.uint64)
+        order = np.argsort(owner, kind="stable")
+        owner, hashes = owner[order], hashes[order]
+        tables = []
+        for batch in chunks(docs.to_batches(), "text", PIECE_OCTETS):
             rows = []
-            for doc, text, parts in zip(
-                    batch.column("doc_id").to_pylist(), utf8_values(batch.column("text")),
-                    batch.column("parts").to_pylist()):
+            for doc, text in zip(
+                    batch.column("doc_id").to_pylist(), utf8_values(batch.column("text"))):
                 words, spans = split_words(text), []
                 kept = words
-                if parts:
-                    repeated = np.isin(
-                        hashing.one(words), np.frombuffer(b"".join(parts), np.uint64))
+                first, last = (0, 0) if doc is None else (
+                    np.searchsorted(owner, doc, side) for side in ("left", "right"))
+                if first < last:
+                    repeated = np.isin(hashing.one(words), hashes[first:last])
                     edge = np.zeros(len(words) + 1, np.int64)
                     starts = np.flatnonzero(repeated)
                     np.add.at(edge, starts, 1)
@@ -162,8 +194,9 @@ def _cut(width: int):
                     kept = [w for w, gone in zip(words, covered) if not gone]
                 rows.append((doc, b" ".join(kept).decode(), len(words),
                              len(words) - len(kept), spans))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+            tables.append(pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema))
+        return pa.Table.from_batches(tables, schema)
 
     return run
 
@@ -180,8 +213,12 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     cause no loss. Rows that share a ``doc_id`` are one document to each other.
     Other columns are ignored; an empty table gives an empty result.
     """
-    gone = repeated_windows(docs, width).groupBy("doc_id").agg(
-        F.collect_list("hashes").alias("parts"))
-    return docs.select("doc_id", "text").join(gone, "doc_id", "left").mapInArrow(
+    octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, round(octets / BLOCK_OCTETS))
+    # Rows without an id have no block of their own and are spread by their text.
+    block = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))) % blocks
+    gone = repeated_windows(docs, width, octets, blocks)
+    return docs.select("doc_id", "text", block.alias("own_block")).groupBy(
+        "own_block").cogroup(gone.groupBy("block")).applyInArrow(
         _cut(width), "doc_id long, text string, n_words long, n_removed long, "
         "spans array<struct<start:long,end:long>>")
