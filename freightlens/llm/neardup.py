@@ -31,6 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 42, 6
 PIECE_OCTETS = 4_000_000
+ROW_OCTETS = 4000  # darts of a document, as text
 FIRST_TEXTS = (1, 4, 16, 64, 256)
 
 
@@ -104,7 +105,7 @@ def _sign(width: int, bands: int, rows: int, counted: bool):
         import xxhash
 
         hashing, rolling = WordHashes(), RollingHash(BASES[0])
-        for batch in chunks(batches, "text", PIECE_OCTETS):
+        for batch in chunks(batches, "text", PIECE_OCTETS, ROW_OCTETS):
             sets = [shingles(split_words(t), hashing, rolling, width)
                     for t in utf8_values(batch.column("text"))]
             sizes = np.array([len(s) for s, _ in sets])

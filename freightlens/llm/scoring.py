@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from freightlens.llm.words import BASES, WordHashes, mixed, narrow, split_words, utf8_values, widened
 from freightlens.session import reliable_checkpoint
 
-BATCH_OCTETS = 12_000_000
-BUCKET_OCTETS = 1_500_000
+BATCH_OCTETS = 5_000_000
+BUCKET_OCTETS = 8_000_000
 SINGLE, LONGER = 1, 2
 # Hashes of the two marks; a word has no white space, so no word is either.
 _START, _END = b" start", b" end"
@@ -49,9 +49,8 @@ class Grams:
     def of(cls, texts: list[bytes | None], order: int) -> Grams:
         hashing = WordHashes(limit=1 << 62)
         lists = []
-        for text in texts:
-            words = split_words(text)
-            lists.append([_START, *map(_lowered, words), _END])
+        for text in texts:  # bytes.lower changes A-Z only
+            lists.append([_START, *split_words((text or b"").lower()), _END])
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         flat = hashing.of([w for x in lists for w in x])
         del lists
@@ -70,10 +69,6 @@ class Grams:
         return cls(owner, ids, hashes, is_start)
 
 
-def _lowered(word: bytes) -> bytes:
-    return word.lower()  # of bytes: A-Z only
-
-
 def _bucketed(values: np.ndarray, buckets: int):
     """Index arrays of the values of each bucket, in a fixed order."""
     bucket = (mixed(values) % np.uint64(buckets)).astype(np.int64)

@@ -36,7 +36,7 @@ def utf8_values(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, limit: int = 500_000) -> None:
+    def __init__(self, limit: int = 300_000) -> None:
         super().__init__()
         self.limit = limit
 
@@ -101,14 +101,16 @@ def inside(owner: np.ndarray, width: int) -> np.ndarray:
         np.empty(0, bool))
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str, octets: int) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces of about so many octets of ``text``, so
-    that a task's memory does not follow the batch size in rows."""
+def chunks(batches: Iterable[pa.RecordBatch], text: str, octets: int,
+           row_octets: int = 64) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of about so many octets of ``text``, each row
+    counting ``row_octets`` more, so that a task's memory follows neither the number
+    of rows in a batch nor their length."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         sizes = np.array([len(x) if x else 0 for x in utf8_values(batch.column(text))])
-        piece = np.cumsum(sizes) // octets
+        piece = np.cumsum(sizes + row_octets) // octets
         starts = np.flatnonzero(np.diff(piece, prepend=-1))
         for start, end in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(start, end - start)
