@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 42, 6
 PIECE_OCTETS = 4_000_000
 ROW_OCTETS = 4000  # darts of a document, as text
-FIRST_TEXTS = (1, 4, 16, 64, 256)
+FIRST_TEXTS = 64
 
 
 def shingles(words: list[bytes], hashing: WordHashes, rolling: RollingHash,
@@ -68,6 +68,7 @@ def darts(elements: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int)
     first = np.full((n, k), np.inf)
     out = np.zeros((n, k), np.uint64)
     open_ = mass > 0
+    whole = bool((room >= 1).all())
     while open_.any():
         live = open_[owner]
         s, o, r = seed[live], owner[live], room[live]
@@ -77,16 +78,20 @@ def darts(elements: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int)
             h = mixed(s + np.uint64(number))
             when = when - np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53)
             inside = when <= until[o]
-            s, o, r, when, h = s[inside], o[inside], r[inside], when[inside], h[inside]
+            s, o, when, h = s[inside], o[inside], when[inside], h[inside]
             low = mixed(h)
-            hit = ((low >> np.uint64(32)).astype(np.float64) / 2.0**32) < r
-            place = (low & np.uint64(0xFFFFFFFF)) % np.uint64(k)
-            found.append((o[hit], place[hit].astype(np.int64), when[hit], h[hit]))
+            place = o * k + ((low & np.uint64(0xFFFFFFFF)) % np.uint64(k)).astype(np.int64)
+            if whole:
+                found.append((place, when, h))
+            else:
+                r = r[inside]
+                hit = ((low >> np.uint64(32)).astype(np.float64) / 2.0**32) < r
+                found.append((place[hit], when[hit], h[hit]))
             number = (number + BASES[0]) % 2**64
-        o, place, when, h = (np.concatenate(c) for c in zip(*found))
-        order = np.lexsort((h, when))[::-1]  # the earliest is written last
-        first[o[order], place[order]] = when[order]
-        out[o[order], place[order]] = h[order]
+        place, when, h = (np.concatenate(c) for c in zip(*found))
+        np.minimum.at(first.reshape(-1), place, when)
+        earliest = when == first.reshape(-1)[place]
+        out.reshape(-1)[place[earliest]] = h[earliest]
         open_ &= np.isinf(first).any(axis=1)
         until = until * 2
     return out
@@ -161,49 +166,45 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Classes (``node, label``) of the members of buckets (``key, node, n``)."""
+    """Classes (``node, label``) of the members of buckets (``key, node, n``).
+
+    The first round compares every text with the first text of a bucket of its, one
+    for each text; that joins most copies. Later rounds take the buckets that still
+    hold several classes and compare all their texts with the first ``width`` ones,
+    where the class differs; ``width`` grows until it spans the largest such bucket.
+    """
     labels = reliable_checkpoint(members.select("node", F.col("node").alias("label")).distinct())
-    spark, tested, edges = members.sparkSession, None, None
-    step, width = 0, FIRST_TEXTS[0]
+    edges, width = None, 1
     while True:
         placed = members.join(labels, "node")
-        open_ = placed.groupBy("key").agg(
+        several = placed.groupBy("key").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")
         ).where("low <> high").select("key", "size")
-        open_ = reliable_checkpoint(placed.join(open_, "key"))
-        largest = open_.agg(F.max("size")).first()[0]
+        placed = reliable_checkpoint(placed.join(several, "key"))
+        largest = placed.agg(F.max("size")).first()[0]
         if largest is None:
             return labels
         rank = Window.partitionBy("key").orderBy("node")
-        firsts = open_.withColumn("rank", F.row_number().over(rank)).where(
+        firsts = placed.withColumn("rank", F.row_number().over(rank)).where(
             F.col("rank") <= width).select(
             "key", F.col("node").alias("first"), F.col("label").alias("to"), F.col("n").alias("m"))
-        pairs = open_.join(firsts, "key").where(
+        pairs = placed.join(firsts, "key").where(
             (F.col("label") != F.col("to"))
-            & (F.least("n", "m") >= similarity * F.greatest("n", "m"))
-        ).select("node", "first", "label", "to", F.least("node", "first").alias("a"),
-                 F.greatest("node", "first").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        few = Window.partitionBy("node", "to").orderBy("first")
-        pairs = reliable_checkpoint(pairs.withColumn("rank", F.row_number().over(few)).where(
-            F.col("rank") <= width).select("a", "b").distinct())
-        if pairs.isEmpty():
-            if width >= largest:
-                return labels
-            step += 1
-            width = FIRST_TEXTS[step] if step < len(FIRST_TEXTS) else width * 4
-            continue
+            & (F.least("n", "m") >= similarity * F.greatest("n", "m")))
+        pairs = pairs.groupBy("node").agg(F.min("first").alias("first")) if width == 1 else pairs
+        pairs = pairs.select(
+            F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         alike = reliable_checkpoint(both.where(
             common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"))
-        tested = pairs if tested is None else reliable_checkpoint(tested.unionByName(pairs))
         edges = alike if edges is None else edges.unionByName(alike)
         labels = merged(labels, edges)
-        step += 1
-        width = FIRST_TEXTS[step] if step < len(FIRST_TEXTS) else width * 4
+        if width >= largest:
+            return labels
+        width = FIRST_TEXTS if width == 1 else width * 8
+        members = placed.select("key", "node", "n")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE,
