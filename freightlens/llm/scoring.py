@@ -15,10 +15,12 @@ answers the batch builds the part of the automaton that its texts can reach.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +72,39 @@ class Grams:
 
 
 def _bucketed(values: np.ndarray, buckets: int):
-    """Index arrays of the values of each bucket, in a fixed order."""
-    bucket = (mixed(values) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    """Index arrays of the values of each bucket, a range of values, in their order."""
+    order = np.argsort(values, kind="stable")
+    bucket = (values[order] // np.uint64(2**64 // buckets + 1)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for start, end in zip(cuts, [*cuts[1:], len(order)]):
-        yield int(bucket[order[start]]), order[start:end]
+        yield int(bucket[start]), order[start:end]
+
+
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd frames, for the two times they are moved."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = [press.compress(t) for t in utf8_values(batch.column("text"))]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("doc_id", "held_out", "batch")),
+             pa.array(texts, pa.binary())], names=["doc_id", "held_out", "batch", "text"])
+
+
+def _texts(group: pa.Table) -> list[bytes]:
+    press = zstandard.ZstdDecompressor()
+    return [press.decompress(t) for t in group.column("text").to_pylist()]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Sorted 64-bit integers as steps, octet by octet: the high octets of all steps
+    come together and are mostly 0, which the shuffle's own compression takes out."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _kinds(grams: Grams):
@@ -89,9 +118,8 @@ def _kinds(grams: Grams):
 
 def _ask(order: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        grams = Grams.of(utf8_values(group.column("text").combine_chunks()), order)
-        trained = np.array(group.column("train").to_pylist(), bool)[grams.owner]
+        grams = Grams.of(_texts(group), order)
+        trained = ~np.array(group.column("held_out").to_pylist(), bool)[grams.owner]
         counts = [np.bincount(n[trained & (n >= 0)], minlength=len(h))
                   for n, h in zip(grams.ids, grams.hashes)]
         rows = []
@@ -100,7 +128,7 @@ def _ask(order: int, buckets: int):
             own = np.concatenate([counts[k][i] for k, i in parts])
             for bucket, at in _bucketed(values, buckets):
                 data, width = narrow(own[at])
-                rows.append((bucket, key[0].as_py(), kind, values[at].tobytes(), data, width))
+                rows.append((bucket, key[0].as_py(), kind, _planes(values[at]), data, width))
         columns = list(zip(*rows)) or [()] * 6
         return pa.table({n: pa.array(c, t) for (n, t), c in zip(_ASKED, columns)})
 
@@ -120,7 +148,7 @@ def _answer(group: pa.Table) -> pa.Table:
         asked = [r for r in rows if r["kind"] == kind]
         if not asked:
             continue
-        hashes = [np.frombuffer(r["hashes"], np.uint64) for r in asked]
+        hashes = [_unplaned(r["hashes"]) for r in asked]
         values, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
         own = np.concatenate([widened(r["counts"], r["width"]) for r in asked])
         totals = np.zeros(len(values), np.int64)
@@ -202,8 +230,7 @@ class Automaton:
 def _score(order: int, tokens: int, types: int, strength: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         n = docs.num_rows
-        text = docs.column("text").combine_chunks() if n else pa.array([], pa.string())
-        grams = Grams.of(utf8_values(text), order)
+        grams = Grams.of(_texts(docs), order)
         replies = {(r["bucket"], r["kind"]): widened(r["counts"], r["width"])
                    for r in answers.select(["bucket", "kind", "counts", "width"]).to_pylist()}
         buckets = answers.column("buckets")[0].as_py() if n else 1
@@ -253,8 +280,9 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2,
     dealt = docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
-    ).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
-    asked = dealt.select("batch", "text", (~F.col("held_out")).alias("train")).groupBy(
+    ).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).mapInArrow(
+        _pressed, "doc_id long, held_out boolean, batch long, text binary")
+    asked = dealt.select("batch", "text", "held_out").groupBy(
         "batch").applyInArrow(_ask(order, buckets), _ASKED_SQL)
     answers = reliable_checkpoint(asked.groupBy("bucket").applyInArrow(
         _answer, "batch long, bucket long, kind int, counts binary, width int, types long, "
