@@ -32,7 +32,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 42, 6
 PIECE_OCTETS = 4_000_000
 ROW_OCTETS = 4000  # darts of a document, as text
-FIRST_TEXTS = 64
+# Texts of a bucket that the rounds compare with, and how many for each text and class.
+FIRST_ROUNDS = ((1, 1), (32, 4), (32, 4), (32, 4))
 
 
 def shingles(words: list[bytes], hashing: WordHashes, rolling: RollingHash,
@@ -168,13 +169,14 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Classes (``node, label``) of the members of buckets (``key, node, n``).
 
-    The first round compares every text with the first text of a bucket of its, one
-    for each text; that joins most copies. Later rounds take the buckets that still
-    hold several classes and compare all their texts with the first ``width`` ones,
-    where the class differs; ``width`` grows until it spans the largest such bucket.
+    The first rounds compare every text with a few of the first texts of its buckets,
+    at most so many for each other class; that joins most copies. Later rounds take
+    the buckets that still hold several classes and compare all their texts with the
+    first ``width`` ones, where the class differs; ``width`` grows until it spans the
+    largest such bucket, so no pair is left out.
     """
     labels = reliable_checkpoint(members.select("node", F.col("node").alias("label")).distinct())
-    edges, width = None, 1
+    edges, turn, width, few = None, 0, *FIRST_ROUNDS[0]
     while True:
         placed = members.join(labels, "node")
         several = placed.groupBy("key").agg(
@@ -191,7 +193,12 @@ def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         pairs = placed.join(firsts, "key").where(
             (F.col("label") != F.col("to"))
             & (F.least("n", "m") >= similarity * F.greatest("n", "m")))
-        pairs = pairs.groupBy("node").agg(F.min("first").alias("first")) if width == 1 else pairs
+        if few:
+            pairs = pairs.select("node", "to", "first").distinct()
+            drawn = Window.partitionBy("node", "to").orderBy(
+                F.xxhash64("node", "first", F.lit(turn)))
+            pairs = pairs.withColumn("rank", F.row_number().over(drawn)).where(
+                F.col("rank") <= few)
         pairs = pairs.select(
             F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
@@ -201,9 +208,10 @@ def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"))
         edges = alike if edges is None else edges.unionByName(alike)
         labels = merged(labels, edges)
-        if width >= largest:
+        if not few and width >= largest:
             return labels
-        width = FIRST_TEXTS if width == 1 else width * 8
+        turn += 1
+        width, few = FIRST_ROUNDS[turn] if turn < len(FIRST_ROUNDS) else (width * 8, 0)
         members = placed.select("key", "node", "n")
 
 
