@@ -74,7 +74,8 @@ class Grams:
 def _bucketed(values: np.ndarray, buckets: int):
     """Index arrays of the values of each bucket, a range of values, in their order."""
     order = np.argsort(values, kind="stable")
-    bucket = (values[order] // np.uint64(2**64 // buckets + 1)).astype(np.int64)
+    span = np.uint64(min(2**64 // buckets + 1, 2**64 - 1))
+    bucket = np.minimum(values[order] // span, np.uint64(buckets - 1)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     for start, end in zip(cuts, [*cuts[1:], len(order)]):
         yield int(bucket[start]), order[start:end]
