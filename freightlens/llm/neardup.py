@@ -29,11 +29,11 @@ from freightlens.session import reliable_checkpoint
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 42, 6
+BANDS, ROWS = 30, 5
 PIECE_OCTETS = 4_000_000
 ROW_OCTETS = 4000  # darts of a document, as text
 # Texts of a bucket that the rounds compare with, and how many for each text and class.
-FIRST_ROUNDS = ((1, 1), (32, 4), (32, 4), (32, 4))
+FIRST_ROUNDS = ((1, 1), (16, 2), (16, 2), (32, 4))
 
 
 def shingles(words: list[bytes], hashing: WordHashes, rolling: RollingHash,
@@ -145,7 +145,7 @@ def _sets(width: int):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()),
                  pa.array([s.astype(np.int64) for s in found], pa.list_(pa.int64()))],
-                names=["node", "set"])
+                names=["text_key", "set"])
 
     return run
 
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     ``class_id`` is the smallest ``doc_id`` of the documents linked to this one,
     directly or through others, by a Jaccard similarity of word shingles of at least
     ``similarity``; ``text_id`` the smallest with exactly its shingles. Candidates
-    share a band of the signature (42 bands of 6 miss a pair at 0.8 three times in a
+    share a band of the signature (30 bands of 5 miss a pair at 0.8 seven times in a
     million); each link is checked on the whole sets. With ``counted`` the
     signature weighs shingles by how often they occur, for texts compared so.
 
@@ -232,28 +232,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     """
     signed = reliable_checkpoint(docs.select("doc_id", "text").mapInArrow(
         _sign(width, bands, rows, counted),
-        "doc_id long, text_key binary, n long, bands array<long>"))
-    # min_by prefers known ids; equal texts have equal bands.
-    texts = reliable_checkpoint(signed.where("text_key is not null").groupBy(
-        F.col("text_key").alias("node")).agg(
-        F.min("doc_id").alias("text_id"), F.first("n").alias("n")))
-    keys = signed.where("text_key is not null").join(
-        texts.select(F.col("node").alias("text_key"), "text_id"), "text_key").where(
-        "doc_id <=> text_id").dropDuplicates(["text_key"]).select(
-        F.col("text_key").alias("node"), "n", F.explode("bands").alias("key"))
-    keys = keys.select("key", "node", "n")
+        "doc_id long, text_key binary, n long, bands array<long>").withColumn(
+        "row", F.monotonically_increasing_id()))
+    # One row stands for a text: with the smallest id, known ids before null ones.
+    texts = reliable_checkpoint(signed.where("text_key is not null").groupBy("text_key").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("pick")).select(
+        "text_key", F.col("pick.doc_id").alias("text_id"), F.col("pick.row").alias("row"),
+        F.monotonically_increasing_id().alias("node")))
+    keys = signed.select("row", "n", "bands").join(texts.select("row", "node"), "row").select(
+        F.explode("bands").alias("key"), "node", "n")
     shared = keys.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
     members = reliable_checkpoint(keys.join(shared, "key", "left_semi"))
-    wanted = members.select("node").distinct().join(texts, "node").select("text_id", "node")
-    sets = reliable_checkpoint(docs.select("doc_id", "text").join(
-        wanted.select(F.col("text_id").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    ).mapInArrow(_sets(width), "node binary, set array<long>").dropDuplicates(["node"]))
+    wanted = reliable_checkpoint(members.select("node").distinct().join(texts, "node").select(
+        "text_id", "text_key", "node"))
+    chosen = wanted.select(F.col("text_id").alias("doc_id")).distinct()
+    sets = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")
+    if not wanted.where("text_id is null").isEmpty():
+        sets = sets.unionByName(docs.select("doc_id", "text").where("doc_id is null"))
+    sets = reliable_checkpoint(sets.mapInArrow(
+        _sets(width), "text_key binary, set array<long>").dropDuplicates(["text_key"]).join(
+        wanted.select("text_key", "node"), "text_key").select("node", "set"))
     labels = _rounds(members, sets, similarity)
     classes = texts.join(labels, "node", "left").select(
-        "node", "text_id", F.coalesce("label", "node").alias("label"))
+        "text_key", "text_id", F.coalesce("label", "node").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("text_id").alias("class_id"))
-    classes = classes.join(smallest, "label").select(
-        F.col("node").alias("text_key"), "text_id", "class_id")
+    classes = classes.join(smallest, "label").select("text_key", "text_id", "class_id")
     return signed.select("doc_id", "text_key").join(classes, "text_key", "left").select(
         "doc_id",
         F.when(F.col("text_key").isNull(), F.col("doc_id")).otherwise(
