@@ -22,7 +22,7 @@ from freightlens.llm.words import chunks
 
 GROUP_DOCUMENTS = 1500
 PIECE_OCTETS = 4_000_000
-REMEMBERED_CHUNKS = 600_000
+REMEMBERED_CHUNKS = 1_000_000
 
 _TWO_SPACES = re.compile(r"\s\s|^\s|\s$|<\|")
 
@@ -66,6 +66,10 @@ class ChunkTokenizer:
         ).astype("<u4") for s, first in zip(split, whole)]
 
 
+# Of this process, so that a worker's next task finds its chunks again.
+TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
 def _pieces(path: str, capacity: int, end: int, groups: int):
     schema = pa.schema([
         ("group", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
@@ -76,7 +80,9 @@ def _pieces(path: str, capacity: int, end: int, groups: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = ChunkTokenizer(path)
+        if path not in TOKENIZERS:
+            TOKENIZERS[path] = ChunkTokenizer(path)
+        tokenizer = TOKENIZERS[path]
         for batch in chunks(batches, "text", PIECE_OCTETS):
             rows = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
