@@ -8,9 +8,9 @@ shingles it has. Two documents agree in a coordinate with the probability that i
 their weighted Jaccard similarity.
 
 Documents with the same shingles are one text. Texts that agree in a band meet in a
-join on the band's hash with the bucket's first few texts, never all with all; what
-joins the same class is not compared again, and the number of first texts grows
-until every pair of a bucket is either compared exactly or in one class.
+join on the band's hash with the bucket's first few texts; what joins the same class
+is not compared again. Where a bucket still holds several classes, their signatures
+are compared in blocks, and only pairs that may be alike leave them.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ BANDS, ROWS = 30, 5
 PIECE_OCTETS = 4_000_000
 ROW_OCTETS = 4000  # darts of a document, as text
 # Texts of a bucket that the rounds compare with, and how many for each text and class.
-FIRST_ROUNDS = ((1, 1), (16, 2), (16, 2), (32, 4))
+FIRST_ROUNDS = ((1, 1), (8, 2), (32, 2))
+BLOCK_TEXTS = 1500
 
 
 def shingles(words: list[bytes], hashing: WordHashes, rolling: RollingHash,
@@ -117,19 +118,22 @@ def _sign(width: int, bands: int, rows: int, counted: bool):
             sizes = np.array([len(s) for s, _ in sets])
             full = np.flatnonzero(sizes)
             keys: list = [None] * len(sets)
+            marks: list = [None] * len(sets)
             if len(full):
                 weights = np.concatenate([sets[i][1] for i in full]).astype(float)
-                signed = band_keys(darts(
+                signed = darts(
                     np.concatenate([sets[i][0] for i in full]),
                     weights if counted else np.ones(len(weights)),
-                    np.cumsum(sizes[full]) - sizes[full], bands * rows), bands, rows)
-                for i, row in zip(full, signed):
-                    keys[i] = row
+                    np.cumsum(sizes[full]) - sizes[full], bands * rows)
+                short = signed.astype(np.uint8)
+                for i, row, octets in zip(full, band_keys(signed, bands, rows), short):
+                    keys[i], marks[i] = row, octets.tobytes()
             texts = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s, _ in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(texts, pa.binary()),
-                 pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "n", "bands"])
+                 pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(marks, pa.binary())],
+                names=["doc_id", "text_key", "n", "bands", "marks"])
 
     return run
 
@@ -166,25 +170,61 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
             "node", F.coalesce("to", "label").alias("label")))
 
 
-def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _alike(bound: float):
+    """Pairs of different classes in a bucket whose signatures (an octet for each
+    coordinate) agree in at least a share ``bound``; between two blocks of a bucket,
+    or inside one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        marks = np.stack([np.frombuffer(m, np.uint8) for m in group.column("marks").to_pylist()])
+        node, label, block, low, high = (
+            group.column(c).to_numpy() for c in ("node", "label", "block", "low", "high"))
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        out: list[np.ndarray] = []
+        for at in range(0, len(left), 32):
+            rows = left[at:at + 32]
+            share = (marks[rows, None, :] == marks[None, right, :]).mean(axis=2)
+            i, j = np.nonzero((share >= bound) & (label[rows, None] != label[None, right]))
+            out.append(np.stack([node[rows[i]], node[right[j]]]))
+        pairs = np.sort(np.concatenate(out, axis=1), axis=0) if out else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return run
+
+
+def _blocked(placed: DataFrame, marks: DataFrame, similarity: float,
+             coordinates: int) -> DataFrame:
+    """Pairs of different classes that share a bucket and may be ``similarity`` alike:
+    the signature may fall short by five deviations of its estimate. A large bucket is
+    cut into blocks, and every two of its blocks meet in a group of their own."""
+    blocks = F.ceil(F.col("size") / BLOCK_TEXTS)
+    rows = placed.join(marks, "node").select(
+        "key", "node", "label", "marks", F.pmod(F.xxhash64("node"), blocks).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    bound = similarity - 5 * (similarity * (1 - similarity) / coordinates) ** 0.5
+    return rows.groupBy("key", "low", "high").applyInArrow(
+        _alike(bound), "a long, b long").distinct()
+
+
+def _rounds(members: DataFrame, sets: DataFrame, marks: DataFrame,
+            similarity: float, coordinates: int) -> DataFrame:
     """Classes (``node, label``) of the members of buckets (``key, node, n``).
 
     The first rounds compare every text with a few of the first texts of its buckets,
-    at most so many for each other class; that joins most copies. Later rounds take
-    the buckets that still hold several classes and compare all their texts with the
-    first ``width`` ones, where the class differs; ``width`` grows until it spans the
-    largest such bucket, so no pair is left out.
+    at most so many for each other class; that joins most copies. The last one takes
+    the buckets that still hold several classes, and there all pairs of different
+    classes, by their signatures first. Every link found is checked on the whole sets.
     """
     labels = reliable_checkpoint(members.select("node", F.col("node").alias("label")).distinct())
-    edges, turn, width, few = None, 0, *FIRST_ROUNDS[0]
-    while True:
+    edges = None
+    for width, few in (*FIRST_ROUNDS, (0, 0)):
         placed = members.join(labels, "node")
         several = placed.groupBy("key").agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")
         ).where("low <> high").select("key", "size")
         placed = reliable_checkpoint(placed.join(several, "key"))
-        largest = placed.agg(F.max("size")).first()[0]
-        if largest is None:
+        if placed.isEmpty():
             return labels
         rank = Window.partitionBy("key").orderBy("node")
         firsts = placed.withColumn("rank", F.row_number().over(rank)).where(
@@ -193,14 +233,16 @@ def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
         pairs = placed.join(firsts, "key").where(
             (F.col("label") != F.col("to"))
             & (F.least("n", "m") >= similarity * F.greatest("n", "m")))
-        if few:
+        if not few:
+            pairs = _blocked(placed, marks, similarity, coordinates)
+        else:
             pairs = pairs.select("node", "to", "first").distinct()
             drawn = Window.partitionBy("node", "to").orderBy(
-                F.xxhash64("node", "first", F.lit(turn)))
+                F.xxhash64("node", "first", F.lit(width)))
             pairs = pairs.withColumn("rank", F.row_number().over(drawn)).where(
-                F.col("rank") <= few)
-        pairs = pairs.select(
-            F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")).distinct()
+                F.col("rank") <= few).select(
+                F.least("node", "first").alias("a"),
+                F.greatest("node", "first").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
@@ -208,11 +250,8 @@ def _rounds(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"))
         edges = alike if edges is None else edges.unionByName(alike)
         labels = merged(labels, edges)
-        if not few and width >= largest:
-            return labels
-        turn += 1
-        width, few = FIRST_ROUNDS[turn] if turn < len(FIRST_ROUNDS) else (width * 8, 0)
         members = placed.select("key", "node", "n")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE,
@@ -232,7 +271,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     """
     signed = reliable_checkpoint(docs.select("doc_id", "text").mapInArrow(
         _sign(width, bands, rows, counted),
-        "doc_id long, text_key binary, n long, bands array<long>").withColumn(
+        "doc_id long, text_key binary, n long, bands array<long>, marks binary").withColumn(
         "row", F.monotonically_increasing_id()))
     # One row stands for a text: with the smallest id, known ids before null ones.
     texts = reliable_checkpoint(signed.where("text_key is not null").groupBy("text_key").agg(
@@ -252,7 +291,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     sets = reliable_checkpoint(sets.mapInArrow(
         _sets(width), "text_key binary, set array<long>").dropDuplicates(["text_key"]).join(
         wanted.select("text_key", "node"), "text_key").select("node", "set"))
-    labels = _rounds(members, sets, similarity)
+    marks = signed.select("row", "marks").join(wanted.join(
+        texts.select("node", "row"), "node").select("row", "node"), "row").select("node", "marks")
+    labels = _rounds(members, sets, marks, similarity, bands * rows)
     classes = texts.join(labels, "node", "left").select(
         "text_key", "text_id", F.coalesce("label", "node").alias("label"))
     smallest = classes.groupBy("label").agg(F.min("text_id").alias("class_id"))
