@@ -4,16 +4,14 @@ Every table is passed to the operators as an argument, so other domains bring
 their own.
 """
 
-# The states of each region.
-STATES_OF_REGION = {
-    "Central-West": ["DF", "GO", "MS", "MT"],
-    "North": ["AC", "AM", "AP", "PA", "RO", "RR", "TO"],
-    "Northeast": ["AL", "BA", "CE", "MA", "PB", "PE", "PI", "RN", "SE"],
-    "South": ["PR", "RS", "SC"],
-    "Southeast": ["ES", "MG", "RJ", "SP"],
-}
+# The region of each state.
 REGION_OF_STATE = {
-    state: region for region, states in STATES_OF_REGION.items() for state in states
+    "DF": "Central-West", "GO": "Central-West", "MS": "Central-West", "MT": "Central-West",
+    "AC": "North", "AM": "North", "AP": "North", "PA": "North", "RO": "North", "RR": "North",
+    "TO": "North", "AL": "Northeast", "BA": "Northeast", "CE": "Northeast", "MA": "Northeast",
+    "PB": "Northeast", "PE": "Northeast", "PI": "Northeast", "RN": "Northeast", "SE": "Northeast",
+    "PR": "South", "RS": "South", "SC": "South", "ES": "Southeast", "MG": "Southeast",
+    "RJ": "Southeast", "SP": "Southeast",
 }
 
 # The roles two regions play in the flags.
@@ -24,17 +22,13 @@ CORE_REGION = "Southeast"
 REMOTE_SELLER_STATES = ["AC", "AM", "AP", "PA", "RO", "RR", "TO"]
 
 # Handling complexity of product categories, and of all others.
-CATEGORIES_OF_COMPLEXITY = {
-    1: ["livros_interesse_geral", "livros_tecnicos", "musica"],
-    2: ["beleza_saude", "cama_mesa_banho", "utilidades_domesticas"],
-    3: ["brinquedos", "eletronicos", "esporte_lazer", "ferramentas_jardim",
-        "informatica_acessorios", "telefonia"],
-    4: ["eletrodomesticos", "eletrodomesticos_2", "eletroportateis"],
-    5: ["moveis_colchao_e_estofado", "moveis_decoracao", "moveis_escritorio",
-        "moveis_quarto", "moveis_sala"],
-}
 COMPLEXITY_OF_CATEGORY = {
-    name: level for level, names in CATEGORIES_OF_COMPLEXITY.items() for name in names
+    "livros_interesse_geral": 1, "livros_tecnicos": 1, "musica": 1, "beleza_saude": 2,
+    "cama_mesa_banho": 2, "utilidades_domesticas": 2, "brinquedos": 3, "eletronicos": 3,
+    "esporte_lazer": 3, "ferramentas_jardim": 3, "informatica_acessorios": 3, "telefonia": 3,
+    "eletrodomesticos": 4, "eletrodomesticos_2": 4, "eletroportateis": 4,
+    "moveis_colchao_e_estofado": 5, "moveis_decoracao": 5, "moveis_escritorio": 5,
+    "moveis_quarto": 5, "moveis_sala": 5,
 }
 DEFAULT_COMPLEXITY = 2
 

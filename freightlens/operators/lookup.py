@@ -1,8 +1,7 @@
 """Attaching lookup tables to facts.
 
-A lookup table has one row per key. It is broadcast only after its rows were
-counted and found below a bound; beyond it the join is shuffled, with the hot
-keys of the fact taken out and joined to their few lookup rows.
+A lookup table has one row per key. It is stored before it is joined, so that its
+size is known to the optimizer.
 """
 
 from __future__ import annotations
@@ -14,9 +13,6 @@ from pyspark.sql import functions as F
 
 from freightlens.session import reliable_checkpoint
 
-BROADCAST_ROWS = 500_000
-HOT_SHARE = 0.001
-
 
 def dimension(spark: SparkSession, values: Mapping, key: str, name: str) -> DataFrame:
     """A literal dictionary as a two-column table."""
@@ -40,45 +36,11 @@ def pair_map(left, right, pairs: Mapping[str, Sequence[str]]) -> Column:
     return F.array_contains(listed, F.col(right))
 
 
-def attach(
-    fact: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    rows: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Left join of a lookup table with known row count ``rows``.
-
-    Without a count, or within the bound of Spark's own size check, the plain
-    join leaves the choice to the optimizer.
-    """
-    keys = list(keys)
-    if rows is None:
-        return fact.join(table, keys, "left")
-    if rows <= broadcast_rows:
-        return fact.join(F.broadcast(table), keys, "left")
-    return skewed_attach(fact, table, keys)
-
-
-def skewed_attach(
-    fact: DataFrame, table: DataFrame, keys: Sequence[str], share: float = HOT_SHARE
-) -> DataFrame:
-    """Left join for a large lookup table and a fact with hot keys.
-
-    A key is hot when it holds more than ``share`` of the fact rows, so there are
-    at most ``1 / share`` of them: their lookup rows are broadcast whatever the
-    scale, and only the rest of the fact is shuffled.
-    """
-    keys = list(keys)
-    counts = fact.where(_all_known(keys)).groupBy(*keys).agg(F.count("*").alias("__n"))
-    limit = counts.agg((F.sum("__n") * F.lit(share)).alias("t")).scalar()
-    hot = counts.where(F.col("__n") > limit).select(*keys)
-    hot_rows = table.join(F.broadcast(hot), keys, "left_semi")
-    marked = fact.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
-    columns = fact.columns + [c for c in table.columns if c not in keys]
-    head = marked.where("__hot").drop("__hot").join(F.broadcast(hot_rows), keys, "left")
-    tail = marked.where("__hot is null").drop("__hot").join(table, keys, "left")
-    return head.select(*columns).unionByName(tail.select(*columns))
+def attach(fact: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of a lookup table. Spark broadcasts the table if its size allows, and
+    adaptive execution splits the partitions of hot keys otherwise, so the fact is
+    read once however many lookups are stacked."""
+    return fact.join(table, list(keys), "left")
 
 
 def _all_known(keys: Sequence[str]) -> Column:
@@ -101,5 +63,5 @@ def attach_aggregate(fact: DataFrame, keys: Sequence[str], *aggregates: Column)
     window would bring all rows of a hot group into one task.
     """
     keys = list(keys)
-    table, rows = stored(fact.where(_all_known(keys)).groupBy(*keys).agg(*aggregates))
-    return attach(fact, table, keys, rows)
+    table, _ = stored(fact.where(_all_known(keys)).groupBy(*keys).agg(*aggregates))
+    return attach(fact, table, keys)

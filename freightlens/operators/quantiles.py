@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightlens.functions import clean
-from freightlens.operators.lookup import BROADCAST_ROWS
 from freightlens.session import reliable_checkpoint
 
 CELLS_PER_E_FOLD = 1024
@@ -75,12 +74,9 @@ def _wanted_ranks(total: Column, probs: Sequence[float]) -> Column:
 
 
 def _several(cells: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Located cells holding more than one value, broadcast if they are few."""
+    """Located cells holding more than one value."""
     several = cells.where("__lo < __hi").select(*keys, "__lo", "__hi", "__picks")
-    count = several.count()
-    if count == 0:
-        return None
-    return F.broadcast(several) if count <= BROADCAST_ROWS else several
+    return None if several.isEmpty() else several
 
 
 def _values(cells: DataFrame, keys: list[str]) -> DataFrame:

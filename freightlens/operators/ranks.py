@@ -65,7 +65,7 @@ def spearman(df: DataFrame, x: str, y: str, one_task_rows: int = HASH_MAP_ROWS)
     ranked = pairs
     for side in ("x", "y"):
         ranks, rows = average_ranks(pairs, side, "n", one_task_rows)
-        ranked = attach(ranked, ranks.withColumnRenamed("rank", f"r{side}"), [side], rows)
+        ranked = attach(ranked, ranks.withColumnRenamed("rank", f"r{side}"), [side])
     total = pairs.agg(F.sum("n").alias("t")).scalar()
     moved = ranked.select(
         F.col("n").cast("double").alias("n"),
@@ -85,6 +85,6 @@ def value_codes(df: DataFrame, column: str, name: str) -> DataFrame:
         column, (F.row_number().over(Window.orderBy(column)) - 1).cast("int").alias(name))
 
 
-def code_of(df: DataFrame, codes: DataFrame, column: str, name: str, rows: int) -> DataFrame:
+def code_of(df: DataFrame, codes: DataFrame, column: str, name: str) -> DataFrame:
     """Attach fitted codes; values not seen at fitting get -1."""
-    return attach(df, codes, [column], rows).withColumn(name, F.coalesce(name, F.lit(-1)))
+    return attach(df, codes, [column]).withColumn(name, F.coalesce(name, F.lit(-1)))

@@ -78,7 +78,7 @@ def box_stats(df: DataFrame, group: str, y: str) -> DataFrame:
     edges = quantile_edges(df, y, [0.25, 0.5, 0.75], by=[group])
     quartiles = edges.select(
         group, *[F.get("edges", F.lit(i)).alias(q) for i, q in enumerate(("q1", "median", "q3"))])
-    rows = attach(df.select(group, clean(y).alias("__y")), quartiles, [group], quartiles.count())
+    rows = attach(df.select(group, clean(y).alias("__y")), quartiles, [group])
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("__y") >= F.col("q1") - reach) & (F.col("__y") <= F.col("q3") + reach)
     fenced = F.when(inside, F.col("__y"))

@@ -137,7 +137,7 @@ class EncoderModel:
         df = base_features(star, self.domain) if base else star
         df = order_features(df)
         for name, keys in KEYS.items():
-            df = attach(df, self.tables[name], keys, self.rows[name])
+            df = attach(df, self.tables[name], keys)
         df = df.withColumns({
             column: F.coalesce(column, F.lit(
                 self.scalars[f"mean_{column}"] if default == "mean" else default))

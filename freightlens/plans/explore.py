@@ -109,10 +109,10 @@ def extreme_routes(df: DataFrame, most: bool, top: int = 10) -> DataFrame:
 def with_route_variability(df: DataFrame, rows: int = c.MIN_ROUTE_ROWS) -> DataFrame:
     """Variability of each row's route; routes with too few rows get the mean of
     the others."""
-    routes, count = stored(route_stats(df, rows).select(
+    routes, _ = stored(route_stats(df, rows).select(
         "state_pair", F.col("std").alias("route_variability")))
     mean = F.lit(routes.agg(F.avg("route_variability")).first()[0])
-    return attach(df, routes, ["state_pair"], count).withColumn(
+    return attach(df, routes, ["state_pair"]).withColumn(
         "route_variability", F.coalesce("route_variability", mean))
 
 

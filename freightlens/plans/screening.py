@@ -60,14 +60,14 @@ def screening_features(star: DataFrame, domain: Domain | None = None) -> DataFra
     """Star rows with all candidate features; group figures are of these rows."""
     domain = domain or Domain()
     df = order_features(base_features(star, domain))
-    habits, sellers = stored(seller_habits(df))
-    df = attach(df, habits, ["seller_id"], sellers)
+    habits, _ = stored(seller_habits(df))
+    df = attach(df, habits, ["seller_id"])
     df = attach_aggregate(
         df, ["seller_state", "customer_state"],
         F.count("*").alias("seller_customer_state_pair_frequency"))
     for side in ("seller_state", "customer_state"):
-        codes, rows = stored(value_codes(df, side, f"{side}_cat"))
-        df = code_of(df, codes, side, f"{side}_cat", rows)
+        codes, _ = stored(value_codes(df, side, f"{side}_cat"))
+        df = code_of(df, codes, side, f"{side}_cat")
     df = cut_width(df, "price", PRICE_BINS, "price_bin")
     complexity = F.col("category_complexity")
     age = days_between("order_purchase_timestamp", "seller_first_sale")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freightlens.operators import ranks, sampling, smooth, stats, summaries
-from freightlens.operators.lookup import attach, skewed_attach
+from freightlens.operators.lookup import attach
 
 
 def data(spark, n=800):
@@ -45,7 +45,7 @@ def test_codes_are_fitted(spark):
     train = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "s string")
     codes = ranks.value_codes(train, "s", "code")
     test = spark.createDataFrame([("a",), ("b",), ("z",), (None,)], "s string")
-    found = {r["s"]: r["code"] for r in ranks.code_of(test, codes, "s", "code", 2).collect()}
+    found = {r["s"]: r["code"] for r in ranks.code_of(test, codes, "s", "code").collect()}
     assert found == {"a": 0, "b": 1, "z": -1, None: -1}
 
 
@@ -54,10 +54,35 @@ def test_lookup_paths_agree(spark):
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id").unionByName(
         spark.createDataFrame([(None, 5000)], "k bigint, id bigint"))
     table = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    wanted = sorted(map(tuple, attach(fact, table, ["k"], 40).collect()), key=str)
-    assert wanted == sorted(map(tuple, attach(fact, table, ["k"], 40, broadcast_rows=0).collect()), key=str)
-    assert wanted == sorted(map(tuple, skewed_attach(fact, table, ["k"], share=0.1).collect()), key=str)
-    assert len(wanted) == 1001
+    wanted = sorted(map(tuple, attach(fact, table, ["k"]).collect()), key=str)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert wanted == sorted(map(tuple, attach(fact, table, ["k"]).collect()), key=str)
+        assert len(wanted) == 1001
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
+def test_stacked_lookups_read_the_fact_once(spark, tmp_path):
+    spark.range(100).select((F.col("id") % 9).alias("k")).write.parquet(f"{tmp_path}/fact")
+    fact = spark.read.parquet(f"{tmp_path}/fact")
+    for i in range(8):
+        fact = attach(fact, spark.range(9).select(F.col("id").alias("k"), F.lit(i).alias(f"v{i}")), ["k"])
+    plan = fact._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1 and fact.count() == 100
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from freightlens.session import ensure_checkpoint_dir
+
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(session)
 
 
 def test_sample_and_split(spark):

@@ -270,8 +270,8 @@ def _(t):
 
 @query("date_lookup")
 def _(t):
-    days, rows = stored(daily_series(t.base))
-    return attach(t.base, days, ["purchase_date"], rows).select(
+    days, _ = stored(daily_series(t.base))
+    return attach(t.base, days, ["purchase_date"]).select(
         *ROW, "purchase_date", "daily_order_count",
         F.coalesce("rolling_7d_orders", F.lit(0.0)).alias("rolling_7d_orders"))
 
@@ -280,8 +280,8 @@ def _(t):
 def _(t):
     df = t.base
     for column in ("seller_state", "customer_state", "state_pair"):
-        codes, rows = stored(ranks.value_codes(df, column, f"{column}_cat"))
-        df = ranks.code_of(df, codes, column, f"{column}_cat", rows)
+        codes, _ = stored(ranks.value_codes(df, column, f"{column}_cat"))
+        df = ranks.code_of(df, codes, column, f"{column}_cat")
     return df.select(*ROW, "seller_state_cat", "customer_state_cat", "state_pair_cat")
 
 
