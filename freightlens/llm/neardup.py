@@ -32,7 +32,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 30, 5
 PIECE_OCTETS = 4_000_000
 ROW_OCTETS = 4000  # darts of a document, as text
-# Texts of a bucket that the rounds compare with, and how many for each text and class.
+# Texts of a bucket that the rounds compare with, and how many for each text.
 FIRST_ROUNDS = ((1, 1), (8, 2), (32, 2))
 BLOCK_TEXTS = 1500
 
@@ -197,15 +197,15 @@ def _alike(bound: float, similarity: float):
 def _blocked(placed: DataFrame, marks: DataFrame, similarity: float,
              coordinates: int) -> DataFrame:
     """Pairs of different classes that share a bucket and may be ``similarity`` alike:
-    their sizes allow it, and the signature falls short by at most four deviations of
-    its estimate (a pair at exactly 0.8 is missed three times in 100,000). A large bucket is
+    their sizes allow it, and the signature falls short by at most five deviations of
+    its estimate. A large bucket is
     cut into blocks, and every two of its blocks meet in a group of their own."""
     blocks = F.ceil(F.col("size") / BLOCK_TEXTS)
     rows = placed.join(marks, "node").select(
         "key", "node", "label", "n", "marks", F.pmod(F.xxhash64("node"), blocks).alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    bound = similarity - 4 * (similarity * (1 - similarity) / coordinates) ** 0.5
+    bound = similarity - 5 * (similarity * (1 - similarity) / coordinates) ** 0.5
     return rows.groupBy("key", "low", "high").applyInArrow(
         _alike(bound, similarity), "a long, b long").distinct()
 
@@ -214,8 +214,8 @@ def _rounds(members: DataFrame, sets: DataFrame, marks: DataFrame,
             similarity: float, coordinates: int) -> DataFrame:
     """Classes (``node, label``) of the members of buckets (``key, node, n``).
 
-    The first rounds compare every text with a few of the first texts of its buckets,
-    at most so many for each other class; that joins most copies. The last one takes
+    The first rounds compare every text with a few of the first texts of its buckets
+    that are of another class; that joins most copies. The last one takes
     the buckets that still hold several classes, and there all pairs of different
     classes, by their signatures first. Every link found is checked on the whole sets.
     """
@@ -239,8 +239,8 @@ def _rounds(members: DataFrame, sets: DataFrame, marks: DataFrame,
         if not few:
             pairs = _blocked(placed, marks, similarity, coordinates)
         else:
-            pairs = pairs.select("node", "to", "first").distinct()
-            drawn = Window.partitionBy("node", "to").orderBy(
+            pairs = pairs.select("node", "first").distinct()
+            drawn = Window.partitionBy("node").orderBy(
                 F.xxhash64("node", "first", F.lit(width)))
             pairs = pairs.withColumn("rank", F.row_number().over(drawn)).where(
                 F.col("rank") <= few).select(
