@@ -24,7 +24,7 @@ GROUP_DOCUMENTS = 1500
 PIECE_OCTETS = 4_000_000
 REMEMBERED_CHUNKS = 1_000_000
 
-_TWO_SPACES = re.compile(r"\s\s|^\s|\s$|<\|")
+_ODD = re.compile(r"\s\s|^\s|\s$|<\|")
 
 
 class ChunkTokenizer:
@@ -33,7 +33,8 @@ class ChunkTokenizer:
     The tokenizer never joins a word to what stands before the white space in
     front of it, so a text without two white spaces in a row is the concatenation
     of its chunks, each with the space or line end before it. Chunks are encoded
-    once and remembered, up to a bound; any other text is encoded whole.
+    once and remembered, up to a bound; any other text is encoded whole. Two white
+    spaces in a row, or one at an end, show in a chunk: it is odd.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,6 +44,7 @@ class ChunkTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         kind = "<u4" if self.wide else "<u2"
@@ -53,12 +55,15 @@ class ChunkTokenizer:
         """The ids of each text, as unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED_CHUNKS:
             self.known.clear()
-        split = [None if not t or _TWO_SPACES.search(t) else
-                 t.replace("\n", " \n").split(" ") for t in texts]
-        known = self.known
-        new = list({c for s in split if s for c in s[1:] if c not in known})
-        for chunk, ids in zip(new, self._encode([c if c[0] == "\n" else " " + c for c in new])):
+            self.odd.clear()
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
+        known, seen = self.known, set().union(*split)
+        new = list(seen - known.keys())
+        self.odd.update(c for c in new if c in ("", "\n") or _ODD.search(c.removeprefix("\n")))
+        for chunk, ids in zip(new, self._encode([c if c[:1] == "\n" else " " + c for c in new])):
             known[chunk] = ids
+        odd = seen & self.odd
+        split = [None if odd and not odd.isdisjoint(s) else s for s in split]
         whole = iter(self._encode([t if s is None else s[0] for t, s in zip(texts, split)]))
         kind = "<u4" if self.wide else "<u2"
         return [np.frombuffer(
