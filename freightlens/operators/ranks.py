@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from freightlens.functions import clean
 from freightlens.operators.lookup import attach, stored
-from freightlens.operators.quantiles import HASH_MAP_ROWS, _log_cell, _sub_cell
+from freightlens.operators.quantiles import _log_cell, _sub_cell
 from freightlens.operators.stats import t_statistic, with_p_value
 
 
 def average_ranks(
-    counts: DataFrame, value: str, weight: str, one_task_rows: int = HASH_MAP_ROWS
+    counts: DataFrame, value: str, weight: str, one_task_rows: int = 0
 ) -> tuple[DataFrame, int]:
     """Rank of every distinct value, ties sharing their mean rank, and the number
     of distinct values.
 
-    ``counts`` holds values with row counts. The running sum is taken over the
-    distinct values in one window while these are few; beyond that cells of the
-    value range are summed first and the windows run inside narrow cells.
+    ``counts`` holds values with row counts. Cells of the value range are summed
+    first and the windows run inside narrow cells, at every size. A caller that
+    knows its values to be few may allow one window over up to ``one_task_rows``
+    of them; ranks are whole or half numbers, so both ways give the same.
     """
     values, rows = stored(
         counts.groupBy(F.col(value).alias("__x")).agg(F.sum(weight).alias("__n")))
@@ -52,7 +53,7 @@ def _with_offsets(values: DataFrame) -> tuple[DataFrame, Column]:
     return fine.join(subs, ["__c", "__s"]), F.col("__a") + F.col("__b") + inside
 
 
-def spearman(df: DataFrame, x: str, y: str, one_task_rows: int = HASH_MAP_ROWS) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, one_task_rows: int = 0) -> DataFrame:
     """Spearman rho over the rows where both sides are known, with its t
     statistic and p-value.
 
