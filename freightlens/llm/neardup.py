@@ -33,7 +33,7 @@ BANDS, ROWS = 30, 5
 PIECE_OCTETS = 4_000_000
 ROW_OCTETS = 4000  # darts of a document, as text
 # Texts of a bucket that the rounds compare with, and how many for each text.
-FIRST_ROUNDS = ((1, 1), (8, 2), (32, 2))
+FIRST_ROUNDS = ((1, 1), (16, 4))
 BLOCK_TEXTS = 1500
 
 
@@ -156,18 +156,29 @@ def _sets(width: int):
 
 def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels (``node, label``) with the classes joined that ``edges`` (``a, b``)
-    connect: every class takes the smallest label of its neighbours, until none
-    differs. One row per node; the edges stay distributed."""
+    connect. Edges become pairs of labels; every label takes the smallest label next
+    to it, and the one that this takes, until no pair has two labels. One row per
+    node; pairs stay distributed and shrink with every step."""
+    pairs = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(
+        labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+    steps = 0
     while True:
-        ends = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        ends = ends.join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        hooks = reliable_checkpoint(ends.where("la <> lb").select(
-            F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("to")).groupBy(
-            "label").agg(F.min("to").alias("to")))
-        if hooks.isEmpty():
-            return labels
-        labels = reliable_checkpoint(labels.join(hooks, "label", "left").select(
-            "node", F.coalesce("to", "label").alias("label")))
+        pairs = reliable_checkpoint(pairs.where("x <> y").select(
+            F.greatest("x", "y").alias("label"), F.least("x", "y").alias("other")).distinct())
+        if pairs.isEmpty():
+            return reliable_checkpoint(labels) if steps else labels
+        hooks = pairs.groupBy("label").agg(F.min("other").alias("to"))
+        further = hooks.select(F.col("label").alias("to"), F.col("to").alias("next"))
+        hooks = hooks.join(further, "to", "left").select(
+            "label", F.coalesce("next", "to").alias("to"))
+        labels = labels.join(hooks, "label", "left").select(
+            "node", F.coalesce("to", "label").alias("label"))
+        steps += 1
+        if steps % 4 == 0:  # keeps the plan short
+            labels = reliable_checkpoint(labels)
+        others = hooks.select(F.col("label").alias("other"), F.col("to").alias("y"))
+        pairs = pairs.join(hooks, "label").join(others, "other", "left").select(
+            F.col("to").alias("x"), F.coalesce("y", "other").alias("y"))
 
 
 def _alike(bound: float, similarity: float):
@@ -210,6 +221,27 @@ def _blocked(placed: DataFrame, marks: DataFrame, similarity: float,
         _alike(bound, similarity), "a long, b long").distinct()
 
 
+def _drawn(placed: DataFrame, width: int, few: int, similarity: float) -> DataFrame:
+    """Pairs (``a, b``) of a text and one of the first ``width`` texts of a bucket, of
+    another class and a fitting size; one a bucket and ``few`` a text, by hash. A
+    bucket hands over one array of its first texts, so no row is made per pair."""
+    rank = Window.partitionBy("key").orderBy("node")
+    firsts = placed.withColumn("rank", F.row_number().over(rank)).where(
+        F.col("rank") <= width).groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("node", "label", "n"))).alias("firsts"))
+    fit = F.filter("firsts", lambda f: (f["label"] != F.col("label")) & (
+        F.least(f["n"], F.col("n")) >= similarity * F.greatest(f["n"], F.col("n"))))
+    drawn = placed.join(firsts, "key").select("key", "node", fit.alias("fit")).where(
+        F.size("fit") > 0).select(
+        "node", F.try_element_at("fit", (F.pmod(
+            F.xxhash64("node", "key"), F.size("fit")) + 1).cast("int"))["node"].alias("first"))
+    order = F.struct(F.xxhash64("node", "first", F.lit(width)).alias("order"), "first")
+    chosen = drawn.groupBy("node").agg(
+        F.slice(F.sort_array(F.collect_set(order)), 1, few).alias("chosen")).select(
+        "node", F.explode("chosen.first").alias("first"))
+    return chosen.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
+
+
 def _rounds(members: DataFrame, sets: DataFrame, marks: DataFrame,
             similarity: float, coordinates: int) -> DataFrame:
     """Classes (``node, label``) of the members of buckets (``key, node, n``).
@@ -220,7 +252,6 @@ def _rounds(members: DataFrame, sets: DataFrame, marks: DataFrame,
     classes, by their signatures first. Every link found is checked on the whole sets.
     """
     labels = reliable_checkpoint(members.select("node", F.col("node").alias("label")).distinct())
-    edges = None
     for width, few in (*FIRST_ROUNDS, (0, 0)):
         placed = members.join(labels, "node")
         several = placed.groupBy("key").agg(
@@ -229,30 +260,14 @@ def _rounds(members: DataFrame, sets: DataFrame, marks: DataFrame,
         placed = reliable_checkpoint(placed.join(several, "key"))
         if placed.isEmpty():
             return labels
-        rank = Window.partitionBy("key").orderBy("node")
-        firsts = placed.withColumn("rank", F.row_number().over(rank)).where(
-            F.col("rank") <= width).select(
-            "key", F.col("node").alias("first"), F.col("label").alias("to"), F.col("n").alias("m"))
-        pairs = placed.join(firsts, "key").where(
-            (F.col("label") != F.col("to"))
-            & (F.least("n", "m") >= similarity * F.greatest("n", "m")))
-        if not few:
-            pairs = _blocked(placed, marks, similarity, coordinates)
-        else:
-            pairs = pairs.select("node", "first").distinct()
-            drawn = Window.partitionBy("node").orderBy(
-                F.xxhash64("node", "first", F.lit(width)))
-            pairs = pairs.withColumn("rank", F.row_number().over(drawn)).where(
-                F.col("rank") <= few).select(
-                F.least("node", "first").alias("a"),
-                F.greatest("node", "first").alias("b")).distinct()
+        pairs = _drawn(placed, width, few, similarity) if few else _blocked(
+            placed, marks, similarity, coordinates)
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         alike = reliable_checkpoint(both.where(
             common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"))
-        edges = alike if edges is None else edges.unionByName(alike)
-        labels = merged(labels, edges)
+        labels = merged(labels, alike)
         members = placed.select("key", "node", "n")
     return labels
 
