@@ -1,9 +1,8 @@
 """Exact quantiles that no single task has to hold.
 
 The built-in exact percentile keeps every distinct value of a group in one hash
-map. That is used only where the rows were counted and are few. Beyond the bound
-the wanted ranks are located by narrowing: a histogram over fixed logarithmic
-cells, then one of equal width inside the few cells that hold a wanted rank, then
+map. Here, at every size, the wanted ranks are located by narrowing: a histogram over
+fixed logarithmic cells, then one of equal width inside the few cells that hold a wanted rank, then
 the values of the cells still holding several. Each step combines before the
 shuffle and ships histogram rows only, and a value shared by any number of rows
 is one entry. Steps two and three run only where needed; a column of few
@@ -16,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +23,6 @@ from freightlens.session import reliable_checkpoint
 
 CELLS_PER_E_FOLD = 1024
 SUB_CELLS = 65_536
-HASH_MAP_ROWS = 2_000_000
 
 
 def _log_cell(x: Column) -> Column:
@@ -90,15 +87,14 @@ def quantile_edges(
     probs: Sequence[float],
     by: Sequence[str] = (),
     weight: str | None = None,
-    hash_map_rows: int = HASH_MAP_ROWS,
     keep: bool = True,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` as columns ``edges`` and
     ``rows``, one row per group of ``by``.
 
     NULL, NaN and infinite values and NULL groups are left out. ``weight`` names a
-    column of whole row counts. ``keep=False`` reads the input once per step and
-    does not store its columns in between: for inputs cheap to read again.
+    column of whole row counts. The columns used are written to the checkpoint folder;
+    ``keep=False`` reads the input once per step instead, for inputs cheap to read.
     """
     value = F.col(value) if isinstance(value, str) else value
     keys = list(by) or ["__all"]
@@ -107,17 +103,9 @@ def quantile_edges(
     # Kept for the following steps; filters on computed values stay above it.
     kept = df.select(*group, clean(value).alias("__x"), count.alias("__w"))
     if keep:
-        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+        kept = reliable_checkpoint(kept)
     rows = kept.where("__w > 0").na.drop(subset=[*keys, "__x"])
-    try:
-        if kept.count() <= hash_map_rows:
-            edges = F.percentile("__x", [float(p) for p in probs], F.col("__w"))
-            small = rows.groupBy(*keys).agg(edges.alias("edges"), F.sum("__w").alias("rows"))
-            return reliable_checkpoint(small.select(*by, "edges", "rows"))
-        return _narrowed(rows.withColumn("__c", _log_cell(F.col("__x"))), keys, list(by), probs)
-    finally:
-        if keep:
-            kept.unpersist()
+    return _narrowed(rows.withColumn("__c", _log_cell(F.col("__x"))), keys, list(by), probs)
 
 
 def _narrowed(rows: DataFrame, keys: list[str], by: list[str], probs: Sequence[float]) -> DataFrame:
@@ -157,7 +145,9 @@ def _narrowed(rows: DataFrame, keys: list[str], by: list[str], probs: Sequence[f
     for i, prob in enumerate(probs):
         place = (F.col("__n") - 1) * F.lit(float(prob))
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        edges.append(low + (high - low) * (place - F.floor(place)))
+        share = place - F.floor(place)
+        # One value at both sides is the edge itself, not a rounded mean of it.
+        edges.append(F.when(low == high, low).otherwise((1 - share) * low + share * high))
     return sides.join(totals, keys).select(
         *by, F.array(*edges).alias("edges"), F.col("__n").alias("rows"))
 

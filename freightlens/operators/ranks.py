@@ -11,24 +11,16 @@ from freightlens.operators.quantiles import _log_cell, _sub_cell
 from freightlens.operators.stats import t_statistic, with_p_value
 
 
-def average_ranks(
-    counts: DataFrame, value: str, weight: str, one_task_rows: int = 0
-) -> tuple[DataFrame, int]:
+def average_ranks(counts: DataFrame, value: str, weight: str) -> tuple[DataFrame, int]:
     """Rank of every distinct value, ties sharing their mean rank, and the number
     of distinct values.
 
     ``counts`` holds values with row counts. Cells of the value range are summed
-    first and the windows run inside narrow cells, at every size. A caller that
-    knows its values to be few may allow one window over up to ``one_task_rows``
-    of them; ranks are whole or half numbers, so both ways give the same.
+    first and the windows run inside narrow cells, at every size.
     """
     values, rows = stored(
         counts.groupBy(F.col(value).alias("__x")).agg(F.sum(weight).alias("__n")))
-    if rows <= one_task_rows:
-        run = Window.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-        before = F.sum("__n").over(run) - F.col("__n")
-    else:
-        values, before = _with_offsets(values)
+    values, before = _with_offsets(values)
     rank = before + (F.col("__n") + 1) / 2
     return values.select(F.col("__x").alias(value), rank.alias("rank")), rows
 
@@ -53,7 +45,7 @@ def _with_offsets(values: DataFrame) -> tuple[DataFrame, Column]:
     return fine.join(subs, ["__c", "__s"]), F.col("__a") + F.col("__b") + inside
 
 
-def spearman(df: DataFrame, x: str, y: str, one_task_rows: int = 0) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Spearman rho over the rows where both sides are known, with its t
     statistic and p-value.
 
@@ -65,7 +57,7 @@ def spearman(df: DataFrame, x: str, y: str, one_task_rows: int = 0) -> DataFrame
         .groupBy("x", "y").agg(F.count("*").alias("n")))
     ranked = pairs
     for side in ("x", "y"):
-        ranks, rows = average_ranks(pairs, side, "n", one_task_rows)
+        ranks, rows = average_ranks(pairs, side, "n")
         ranked = attach(ranked, ranks.withColumnRenamed("rank", f"r{side}"), [side])
     total = pairs.agg(F.sum("n").alias("t")).scalar()
     moved = ranked.select(

@@ -6,7 +6,6 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from freightlens.plans.domain import Domain
 from freightlens.plans.features import (
     geo_features, interaction_features, order_features, product_features, time_features,
 )
+from freightlens.session import reliable_checkpoint
 
 # Lookup tables by name, with their key columns.
 KEYS = {
@@ -189,11 +189,10 @@ class FeatureEncoder:
         """``base`` says that the base features are already there."""
         df = train if base else base_features(train, self.domain)
         # Eight aggregations read the same few columns: stored for the time being.
-        df = df.select(*FITTED_COLUMNS).persist(StorageLevel.MEMORY_AND_DISK)
+        df = reliable_checkpoint(df.select(*FITTED_COLUMNS))
         tables, rows = {}, {}
         for name, table in _lookup_tables(df).items():
             tables[name], rows[name] = stored(table)
-        df.unpersist()
         scalars = {
             f"mean_{column}": tables[name].agg(F.avg(column)).first()[0]
             for column, name in MEAN_FILLED.items()

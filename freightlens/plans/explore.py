@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from freightlens.operators.quantiles import quantile, quantiles
 from freightlens.operators.stats import flag_contrast, group_stats
 from freightlens.plans.domain import Domain
 from freightlens.plans.encoders import base_features
+from freightlens.session import reliable_checkpoint
 
 Y = c.TARGET
 
@@ -68,11 +68,9 @@ def with_quantile_flags(
 ) -> DataFrame:
     added = {}
     columns = {column for column, _, _ in flags.values()}
-    narrow = df.select(*[clean(c).alias(c) for c in sorted(columns)]).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    narrow = reliable_checkpoint(df.select(*[clean(c).alias(c) for c in sorted(columns)]))
     bounds = {
         name: quantile(narrow, column, prob) for name, (column, prob, _) in flags.items()}
-    narrow.unpersist()
     for name, (column, _, side) in flags.items():
         bound = F.lit(bounds[name])
         value = clean(column)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from freightlens.operators.stats import corr_table, grouped
 from freightlens.plans.domain import Domain
 from freightlens.plans.encoders import base_features
 from freightlens.plans.features import order_features
+from freightlens.session import reliable_checkpoint
 
 # Names of the screened features.
 SCREENED = [
@@ -97,9 +97,9 @@ def screening_report(
     reading and summed before the shuffle.
     """
     features = list(features)
-    wide = df.select(
+    wide = reliable_checkpoint(df.select(
         F.col(y).cast("double").alias("__y"), *[clean(f).alias(f) for f in features],
-    ).where("__y is not null").persist(StorageLevel.MEMORY_AND_DISK)
+    )).where("__y is not null")
     long = wide.unpivot(["__y"], features, "feature", "value").where("value is not null")
     correlations, _ = stored(corr_table(wide, features, "__y"))
     edges = {
@@ -114,7 +114,6 @@ def screening_report(
         ["feature", "bin"],
         F.avg("__y").alias("mean"), F.stddev_samp("__y").alias("std"),
         F.count("__y").alias("count")))
-    wide.unpersist()
 
     spreads = stats.groupBy("feature").agg((F.max("mean") - F.min("mean")).alias("spread"))
     few = F.col("rows") < c.MIN_SCREENING_ROWS

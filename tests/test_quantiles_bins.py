@@ -19,25 +19,33 @@ def frames(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("bound", [0, 10**6])
-def test_quantiles_equal_sorting_on_both_paths(spark, bound):
+def test_quantiles_equal_sorting(spark):
     pdf, df = frames(spark)
     for column in ("hot", "narrow", "wide"):
-        edges = quantile_edges(df, column, PROBS, hash_map_rows=bound).first()["edges"]
+        edges = quantile_edges(df, column, PROBS).first()["edges"]
         assert edges == pytest.approx(list(np.quantile(pdf[column], PROBS)), rel=1e-12)
-    grouped = quantile_edges(df, "hot", PROBS, by=["g"], hash_map_rows=bound).collect()
+    grouped = quantile_edges(df, "hot", PROBS, by=["g"]).collect()
     assert len(grouped) == 3
     for row in grouped:
         assert row["edges"] == pytest.approx(
             list(np.quantile(pdf.loc[pdf.g == row["g"], "hot"], PROBS)), rel=1e-12)
 
 
+def test_quantiles_are_the_same_bits_however_rows_are_dealt(spark):
+    _, df = frames(spark)
+    df = df.withColumn("cents", F.round("hot", 2))
+    probs = [i / 20 for i in range(21)]
+    built_in = df.agg(F.percentile("cents", probs).alias("edges")).first()["edges"]
+    for parts in (1, 5):
+        assert quantiles(df.repartition(parts), "cents", probs) == built_in
+        assert quantiles(df.repartition(parts).unionAll(df), "cents", probs) == quantiles(
+            df.withColumn("two", F.lit(2)), "cents", probs, weight="two")
+
+
 def test_weights_and_absent_values(spark):
     df = spark.createDataFrame(
         [(1.0, 3), (2.0, 1), (None, 9), (float("nan"), 9), (float("inf"), 9)], "x double, w int")
-    for bound in (0, 100):
-        assert quantile_edges(df, "x", [0.5, 1.0], weight="w", hash_map_rows=bound).first()[
-            "edges"] == [1.0, 2.0]
+    assert quantile_edges(df, "x", [0.5, 1.0], weight="w").first()["edges"] == [1.0, 2.0]
     assert quantiles(df.where("x > 5 and not isnan(x) and x < 9"), "x", [0.5]) == [None]
 
 
