@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightlens.llm.words import (
-    BASES, RollingHash, WordHashes, chunks, mixed, split_words, utf8_values,
+    BASES, RollingHash, WordHashes, chunks, mixed, row_key, split_words, utf8_values,
 )
 from freightlens.session import reliable_checkpoint
 
@@ -130,10 +130,10 @@ def _sign(width: int, bands: int, rows: int, counted: bool):
                     keys[i], marks[i] = row, octets.tobytes()
             texts = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s, _ in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.binary()),
+                [batch.column("doc_id"), batch.column("own"), pa.array(texts, pa.binary()),
                  pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
                  pa.array(marks, pa.binary())],
-                names=["doc_id", "text_key", "n", "bands", "marks"])
+                names=["doc_id", "own", "text_key", "n", "bands", "marks"])
 
     return run
 
@@ -272,29 +272,19 @@ def _rounds(members: DataFrame, sets: DataFrame, marks: DataFrame,
     return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE,
-                    bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """``doc_id, class_id, text_id``: one row per row of ``docs``.
-
-    ``class_id`` is the smallest ``doc_id`` of the documents linked to this one,
-    directly or through others, by a Jaccard similarity of word shingles of at least
-    ``similarity``; ``text_id`` the smallest with exactly its shingles. Candidates
-    share a band of the signature (30 bands of 5 miss a pair at 0.8 seven times in a
-    million); each link is checked on the whole sets. With ``counted`` the
-    signature weighs shingles by how often they occur, for texts compared so.
-
-    Documents without words (null, empty) are classes of their own. Null ids have
-    the class of their text, which is null if no other id is in it. Repeated rows
-    are copies. Other columns are ignored; an empty table gives an empty result.
-    """
-    signed = reliable_checkpoint(docs.select("doc_id", "text").mapInArrow(
+def _classes(docs: DataFrame, similarity: float, width: int, bands: int, rows: int,
+             counted: bool) -> tuple[DataFrame, DataFrame]:
+    """The signed rows of ``docs``, and ``text_key, text_id, own, label`` for every text
+    with words: the id and the key of the row that stands for it, and its class."""
+    signed = reliable_checkpoint(docs.select("doc_id", "text", row_key().alias("own")).mapInArrow(
         _sign(width, bands, rows, counted),
-        "doc_id long, text_key binary, n long, bands array<long>, marks binary").withColumn(
-        "row", F.monotonically_increasing_id()))
+        "doc_id long, own binary, text_key binary, n long, bands array<long>, marks binary",
+    ).withColumn("row", F.monotonically_increasing_id()))
     # One row stands for a text: with the smallest id, known ids before null ones.
     texts = reliable_checkpoint(signed.where("text_key is not null").groupBy("text_key").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("pick")).select(
-        "text_key", F.col("pick.doc_id").alias("text_id"), F.col("pick.row").alias("row"),
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own", "row")).alias("pick")).select(
+        "text_key", F.col("pick.doc_id").alias("text_id"), F.col("pick.own").alias("own"),
+        F.col("pick.row").alias("row"),
         F.monotonically_increasing_id().alias("node")))
     keys = signed.select("row", "n", "bands").join(texts.select("row", "node"), "row").select(
         F.explode("bands").alias("key"), "node", "n")
@@ -312,8 +302,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     marks = signed.select("row", "marks").join(wanted.join(
         texts.select("node", "row"), "node").select("row", "node"), "row").select("node", "marks")
     labels = _rounds(members, sets, marks, similarity, bands * rows)
-    classes = texts.join(labels, "node", "left").select(
-        "text_key", "text_id", F.coalesce("label", "node").alias("label"))
+    return signed, texts.join(labels, "node", "left").select(
+        "text_key", "text_id", "own", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE,
+                    bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """``doc_id, class_id, text_id``: one row per row of ``docs``.
+
+    ``class_id`` is the smallest ``doc_id`` of the documents linked to this one,
+    directly or through others, by a Jaccard similarity of word shingles of at least
+    ``similarity``; ``text_id`` the smallest with exactly its shingles. Candidates
+    share a band of the signature (30 bands of 5 miss a pair at 0.8 seven times in a
+    million); each link is checked on the whole sets. With ``counted`` the
+    signature weighs shingles by how often they occur, for texts compared so.
+
+    Documents without words (null, empty) are classes of their own. Null ids have
+    the class of their text, which is null if no other id is in it. Repeated rows
+    are copies. Other columns are ignored; an empty table gives an empty result.
+    """
+    signed, classes = _classes(docs, similarity, width, bands, rows, counted)
     smallest = classes.groupBy("label").agg(F.min("text_id").alias("class_id"))
     classes = classes.join(smallest, "label").select("text_key", "text_id", "class_id")
     return signed.select("doc_id", "text_key").join(classes, "text_key", "left").select(
@@ -324,11 +332,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
             F.col("text_id")).alias("text_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the smallest of their class, with all columns; of rows
-    that share that id one stays. Documents without words all stay."""
-    kept = near_duplicates(docs, **options).where("doc_id = class_id").select("doc_id").distinct()
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, width: int = SHINGLE,
+                bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """One document of each class, with all columns: the one with the smallest id, or
+    one without an id where the class has no other. Of different texts of the class
+    under that id one stays; another class keeps its own, whatever its ids are.
+    Documents without words all stay."""
+    _, classes = _classes(docs, similarity, width, bands, rows, counted)
+    kept = classes.groupBy("label").agg(
+        F.min(F.struct(F.col("text_id").isNull(), "text_id", "own")).alias("pick")).select(
+        F.col("pick.own").alias("__own"))
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    # The same id may be on different rows; only whole repeats of a kept row go.
-    chosen = docs.where(worded).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # Only whole repeats of a kept row share its key.
+    chosen = docs.where(worded).withColumn("__own", row_key()).join(
+        kept, "__own", "left_semi").dropDuplicates(["__own"]).drop("__own")
     return chosen.unionByName(docs.where(~F.coalesce(worded, F.lit(False))))

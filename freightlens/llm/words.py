@@ -7,7 +7,8 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: a word, by every contract on word counts.
@@ -101,6 +102,15 @@ def inside(owner: np.ndarray, width: int) -> np.ndarray:
         np.empty(0, bool))
 
 
+def row_key() -> Column:
+    """128 bits of a row's ``doc_id`` and ``text``, also where either is null: rows with
+    one key are copies of each other."""
+    return F.unhex(F.md5(F.concat(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.lit(" ")),
+        F.coalesce("text", F.lit("")))))
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, octets: int,
            row_octets: int = 64) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of about so many octets of ``text``, each row

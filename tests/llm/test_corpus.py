@@ -290,6 +290,22 @@ def test_near_duplicates(docs, none):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6, 7, 8, 9, 10]
 
 
+def test_one_of_each_keeps_a_row_of_every_class(docs):
+    """Null ids, and different texts under one id."""
+    near = passage(21, 198) + " two more"
+    rows = [(None, passage(20, 90)),
+            (None, passage(21, 200)), (None, near),
+            (1, passage(22, 200)), (2, passage(22, 198) + " two more"), (2, passage(23, 70)),
+            (None, passage(22, 200)), (3, passage(24, 80)), (3, passage(25, 80)),
+            (3, passage(25, 80)), (None, None)]
+    table = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in neardup.one_of_each(table).collect()]
+    null_group = [r for r in kept if r in rows[1:3]]
+    assert len(null_group) == 1
+    assert sorted((r for r in kept if r not in null_group), key=str) == sorted(
+        [rows[0], rows[3], rows[5], rows[7], rows[8], rows[10]], key=str)
+
+
 def test_near_duplicates_link_as_brute_force_does(docs):
     """A large group of near copies, in which many pairs are below the bound."""
     random = np.random.default_rng(5)
