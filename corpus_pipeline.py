@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from freightlens.llm import language, mixing, neardup, packing, substrings
 from freightlens.llm.queries import tokenizer_path
+from freightlens.llm.words import row_key
 from freightlens.session import ensure_checkpoint_dir, ship_package
 
 
@@ -24,16 +25,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """One document of each group of near copies, with the smallest id."""
     return neardup.one_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words and more that an earlier document has;
     texts that lose nothing stay as they are, line ends included."""
-    cut = substrings.remove_repeats(docs.select("doc_id", "text")).where("n_removed > 0").select(
-        "doc_id", F.col("text").alias("cut_text"))
-    joined = docs.join(cut.dropDuplicates(["doc_id"]), "doc_id", "left")
+    # Rows may share an id, so a cut text comes back to the row that it was cut from.
+    keyed = docs.withColumn("row_key", row_key())
+    cut = substrings.remove_repeats(keyed, key="row_key").where("n_removed > 0").select(
+        "row_key", F.col("text").alias("cut_text"))
+    joined = keyed.join(cut.dropDuplicates(["row_key"]), "row_key", "left")
     return joined.withColumn("text", F.coalesce("cut_text", "text")).withColumn(
         "n_chars", F.length("text").cast("long")).select(*docs.columns)
 

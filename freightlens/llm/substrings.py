@@ -160,11 +160,12 @@ def repeated_windows(docs: DataFrame, width: int, octets: int, blocks: int) -> D
         _settle(blocks), "block long, docs binary, hashes binary")
 
 
-def _cut(width: int):
+def _cut(width: int, key: str | None):
     schema = pa.schema([
         ("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()),
         ("n_removed", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    whole = schema.append(pa.field(key, pa.binary())) if key else schema
 
     hashing = WindowHashes(width)
 
@@ -194,14 +195,15 @@ def _cut(width: int):
                     kept = [w for w, gone in zip(words, covered) if not gone]
                 rows.append((doc, b" ".join(kept).decode(), len(words),
                              len(words) - len(kept), spans))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)]
             tables.append(pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema))
-        return pa.Table.from_batches(tables, schema)
+                columns + ([batch.column(key)] if key else []), schema=whole))
+        return pa.Table.from_batches(tables, whole)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, key: str | None = None) -> DataFrame:
     """Documents without the passages that a document with a smaller id has.
 
     Returns ``doc_id, text, n_words, n_removed, spans`` for every row: the kept
@@ -211,6 +213,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     Null or empty texts have no words and come back empty. Rows with a null
     ``doc_id`` are neither larger nor smaller than others: they lose nothing and
     cause no loss. Rows that share a ``doc_id`` are one document to each other.
+    ``key`` names a binary column that comes back as well and tells such rows apart.
     Other columns are ignored; an empty table gives an empty result.
     """
     octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -218,7 +221,8 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     # Rows without an id have no block of their own and are spread by their text.
     block = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))) % blocks
     gone = repeated_windows(docs, width, octets, blocks)
-    return docs.select("doc_id", "text", block.alias("own_block")).groupBy(
+    kept = ["doc_id", "text"] + ([key] if key else [])
+    return docs.select(*kept, block.alias("own_block")).groupBy(
         "own_block").cogroup(gone.groupBy("block")).applyInArrow(
-        _cut(width), "doc_id long, text string, n_words long, n_removed long, "
-        "spans array<struct<start:long,end:long>>")
+        _cut(width, key), "doc_id long, text string, n_words long, n_removed long, "
+        "spans array<struct<start:long,end:long>>" + (f", `{key}` binary" if key else ""))

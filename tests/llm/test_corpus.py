@@ -358,6 +358,19 @@ def test_quality(docs, none):
     assert quality.judge(none).count() == 0
 
 
+def test_cut_texts_return_to_their_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, passage(30, 60)), (2, passage(31, 20) + " " + passage(30, 60)),
+            (2, passage(32, 30)), (None, passage(30, 60)), (3, None)]
+    docs = spark.createDataFrame(
+        [(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, n_chars long")
+    ship_package(spark)
+    got = corpus_pipeline.cut_repeated_passages(spark, docs, "").collect()
+    wanted = [*rows[:1], (2, passage(31, 20)), *rows[2:]]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(wanted, key=str)
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline
 
