@@ -19,6 +19,7 @@ from freightlens.constants import TARGET as Y
 from freightlens.functions import clean, clip_upper
 from freightlens.models.artifact import Artifact, artifact_name
 from freightlens.models.components import principal_components
+from freightlens.models.inputs import CATEGORY_INPUTS, NUMERIC_INPUTS
 from freightlens.models.preprocess import fit_preprocessing, impute_and_scale
 from freightlens.models.trees import (
     cross_validate, fit_boosted_trees, forest_residuals, score_summary,
@@ -727,17 +728,24 @@ def _(t):
     return scaler.transform(t.base).select(*ROW, *[f"{c}__z" for c in MODEL_NUMERIC])
 
 
+@query("standardise_impute_all", 4)
+def _(t):
+    """All numeric inputs of the models, over the training rows."""
+    _, train, _ = _training(t)
+    train, _ = stored(train.select(*ROW, *NUMERIC_INPUTS))
+    scaler = impute_and_scale(train, NUMERIC_INPUTS)
+    return scaler.transform(train).select(*ROW, *[f"{c}__z" for c in NUMERIC_INPUTS])
+
+
 @query("one_hot")
 def _(t):
-    df = t.base.select(*ROW, "product_category_name", "seller_region")
-    model = fit_preprocessing(df.withColumn("one", F.lit(1.0)), ["one"],
-                              ["product_category_name", "seller_region"])
+    df = t.base.select(*ROW, *CATEGORY_INPUTS)
+    model = fit_preprocessing(df.withColumn("one", F.lit(1.0)), ["one"], CATEGORY_INPUTS)
     hot = model.transform(df.withColumn("one", F.lit(1.0))).select(
-        "product_category_name", "seller_region",
+        *CATEGORY_INPUTS,
         F.array_size(vector_to_array("features")).alias("width"),
         F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, b: a + b).alias("ones"))
-    return hot.groupBy("product_category_name", "seller_region", "width", "ones").agg(
-        F.count("*").alias("rows"))
+    return hot.groupBy(*CATEGORY_INPUTS, "width", "ones").agg(F.count("*").alias("rows"))
 
 
 @query("pca_regimes", 4)
@@ -756,7 +764,7 @@ def _(t):
 
 @query("forest_residuals", 4)
 def _(t):
-    scored = forest_residuals(t.volumes, ROW[:2], trees=10, depth=6, bucket=key_mix(100))
+    scored = forest_residuals(t.volumes, ROW[:2], bucket=key_mix(100))
     by_bin = explore.residuals_by_bin(scored, "real_distance_km").select(
         F.col("bin").cast("string").alias("part"), "mean", "std", F.col("count").alias("rows"))
     return by_bin.unionByName(stats.residual_summary(scored, "residual").select(
@@ -771,14 +779,16 @@ def _training(t):
     return model, model.transform(train, base=False), model.transform(test, base=False)
 
 
-BOOSTED = {"numeric": ["real_distance_km", "state_pair_avg_days", "customer_state_avg_days",
-                       "customer_zip_code_prefix", "shipping_limit_days", "log_total_order_weight"],
-           "categories": ["customer_region"], "rounds": 5, "depth": 4}
+# All inputs and the operators' own depth; the rounds, and the folds of the
+# cross-validation, are what the registered queries bound.
+BOOSTED = {"numeric": NUMERIC_INPUTS, "categories": CATEGORY_INPUTS, "rounds": 5}
+MODEL_COLUMNS = [*NUMERIC_INPUTS, *CATEGORY_INPUTS, Y]
 
 
 @query("boosted_rmse", 4)
 def _(t):
     _, train, test = _training(t)
+    train, _ = stored(train.select(*MODEL_COLUMNS))
     model = fit_boosted_trees(train, **BOOSTED)
     return stats.rmse(model.transform(test), Y, "prediction")
 
@@ -786,9 +796,8 @@ def _(t):
 @query("cv_scores", 4)
 def _(t):
     _, train, _ = _training(t)
-    columns = [*BOOSTED["numeric"], *BOOSTED["categories"], Y]
     folds, _ = stored(train.select(
-        *columns, sampling.fold_of(ROW[:2], 3).alias("fold")))
+        *MODEL_COLUMNS, sampling.fold_of(ROW[:2], 3).alias("fold")))
     scores = cross_validate(
         folds, 3, "fold", lambda df: fit_boosted_trees(df, **{**BOOSTED, "rounds": 3}))
     return score_summary(scores)
@@ -797,6 +806,7 @@ def _(t):
 @query("model_roundtrip", 4)
 def _(t):
     encoder, train, _ = _training(t)
+    train, _ = stored(train.select(*MODEL_COLUMNS))
     model = fit_boosted_trees(train, **{**BOOSTED, "rounds": 3})
     ensure_checkpoint_dir(t.spark)
     folder = (f"{t.spark.sparkContext.getCheckpointDir()}/"
