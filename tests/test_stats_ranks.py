@@ -137,3 +137,18 @@ def test_box(spark):
     row = summaries.box_stats(df, "g", "y").first()
     assert (row["q1"], row["median"], row["q3"]) == (2.0, 3.0, 4.0)
     assert (row["low_whisker"], row["high_whisker"], row["outliers"]) == (1.0, 4.0, 1)
+
+
+def test_registered_robust_curve_is_whole(spark, folder, monkeypatch):
+    from workloads import queries
+
+    whole, calls = smooth.lowess_grid, []
+
+    def called(*args, **options):
+        calls.append(options)
+        return whole(*args, **options)
+
+    monkeypatch.setattr(queries.smooth, "lowess_grid", called)
+    rows = queries.QUERIES["lowess_robust"](spark, folder).collect()
+    assert calls[0]["rounds"] == 3 and calls[0].get("points", 50) == 50
+    assert len(rows) == 50 and all(r.fit is not None for r in rows)

@@ -590,7 +590,7 @@ def _(t):
 
 @query("lowess_robust")
 def _(t):
-    return smooth.lowess_grid(t.plain_star, "price", Y, frac=0.15, points=21, rounds=2)
+    return smooth.lowess_grid(t.plain_star, "price", Y, frac=0.15, rounds=3)
 
 
 # Graph
