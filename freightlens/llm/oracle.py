@@ -83,9 +83,65 @@ reach(doc_id, other) as (
 select doc_id, min(other) as class_id from reach group by doc_id
 """
 
+NEGATIVES = """
+with fine as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+    list_inner_product(a.v, b.v)::bigint as score
+  from fine a join fine b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id,
+  (row_number() over (partition by anchor_id, positive_id
+    order by score desc, other_id))::integer as rank,
+  other_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id
+  order by score desc, other_id) <= 3
+"""
+
+# Words as this contract defines them; A-Z are lowered first.
+_FOLDED = rf"""regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+DECONTAMINATION = rf"""
+with docs as (select doc_id, {_FOLDED} as w from documents),
+items as (select item_id, {_FOLDED} as w from benchmark),
+windows as (
+  select distinct item_id, least(len(w), 10) as n,
+    array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) as i from items where len(w) > 0)),
+places as (
+  select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i
+        from docs, (select distinct n from windows) where len(w) >= n)),
+found as (select doc_id, item_id, i, n from places join windows using (n, g)),
+hits as (
+  select doc_id, count(distinct p)::bigint as n_hit
+  from (select doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from found))
+  group by doc_id),
+listed as (
+  select doc_id, count(*)::bigint as n_items,
+    string_agg(item_id::varchar, ',' order by item_id::varchar) as names
+  from (select distinct doc_id, item_id from found) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from docs left join hits using (doc_id) left join listed using (doc_id)
+"""
+
 SQL = {
     "op4_substrings": SUBSTRINGS,
     "op6_chat": CHAT,
     "op7_urls": URLS,
     "op9_near_duplicates": NEAR_DUPLICATES,
+    "op12_negatives": NEGATIVES,
+    "op13_decontamination": DECONTAMINATION,
 }

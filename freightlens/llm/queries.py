@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightlens.llm import (
-    chat, language, mixing, neardup, neighbours, packing, quality, scoring, substrings, urls,
+    chat, decontaminate, language, mixing, neardup, negatives, neighbours, packing, quality, scoring,
+    substrings, urls,
 )
 from freightlens.session import ship_package
 
@@ -87,6 +88,23 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
         failed.alias("base_failed"), (~failed & F.col("accepted")).alias("kept"))
 
 
+def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", moved.alias("label"), negatives.floored(F.col("embedding"), 256).alias("embedding"))
+    return negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_packing": op2_packing,
@@ -98,4 +116,6 @@ QUERIES = {
     "op8_scoring": op8_scoring,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
+    "op12_negatives": op12_negatives,
+    "op13_decontamination": op13_decontamination,
 }
