@@ -83,6 +83,51 @@ reach(doc_id, other) as (
 select doc_id, min(other) as class_id from reach group by doc_id
 """
 
+# crc32 of `<doc_id>:<run>`, bit by bit; 3988292384 is its reversed polynomial.
+SPELLING = rf"""
+with recursive runs as (
+  select doc_id, r, count(*) as k
+  from (select doc_id, unnest(regexp_extract_all(
+          translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+')) as r
+        from documents)
+  where length(r) >= 6 group by all),
+octets as (
+  select r, k, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || r, ''),
+    lambda x: case when unicode(x) < 128 then [unicode(x)]
+      else [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] end)) as o
+  from runs),
+hashed as (
+  select r, k, xor(4294967295, list_reduce(
+    flatten(list_transform(o, lambda x: list_transform(range(8), lambda b: (x::bigint >> b) & 1))),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::bigint)) as h
+  from octets),
+counted as (
+  select case when h % 199 = 0 then left(r, (h % length(r))::int) || substr(r, (h % length(r))::int + 2)
+    else r end as word, sum(k)::bigint as n
+  from hashed group by 1),
+words as (select word, n from counted where length(word) >= 6 and n >= 5),
+gone as (
+  select word, i, left(word, i::int) || substr(word, i::int + 2) as v
+  from (select word, unnest(range(length(word))) as i from words)),
+near as (
+  select a.word as x, b.word as y from gone a join gone b using (i, v) where a.word <> b.word
+  union select a.word, b.word from gone a join words b on a.v = b.word
+  union select b.word, a.word from gone a join words b on a.v = b.word),
+best as (
+  select x as word, count(*)::bigint as n_near,
+    arg_min(y, (-w.n, y)) as f, max(w.n) as f_n
+  from near join words w on w.word = y group by x),
+formed as (
+  select word, case when f_n >= 5 * n then f end as form, n, coalesce(n_near, 0)::bigint as n_near,
+    case when f_n >= 5 * n then f_n end as form_n
+  from words left join best using (word)),
+way(word, root) as (
+  select word, word from formed
+  union all select way.word, form from way join formed on formed.word = root where form is not null),
+roots as (select way.word, root from way join formed on formed.word = root where form is null)
+select word, form, root, n, n_near, form_n from formed join roots using (word)
+"""
+
 NEGATIVES = """
 with fine as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
@@ -142,6 +187,7 @@ SQL = {
     "op6_chat": CHAT,
     "op7_urls": URLS,
     "op9_near_duplicates": NEAR_DUPLICATES,
+    "op11_spelling": SPELLING,
     "op12_negatives": NEGATIVES,
     "op13_decontamination": DECONTAMINATION,
 }

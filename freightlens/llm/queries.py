@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from freightlens.llm import (
     chat, decontaminate, language, mixing, neardup, negatives, neighbours, packing, quality, scoring,
-    substrings, urls,
+    spelling, substrings, urls,
 )
 from freightlens.session import ship_package
 
@@ -88,6 +88,10 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
         failed.alias("base_failed"), (~failed & F.col("accepted")).alias("kept"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"), slip=True)
+
+
 def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, folder, "embeddings").select(
@@ -116,6 +120,7 @@ QUERIES = {
     "op8_scoring": op8_scoring,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality": op10_quality,
+    "op11_spelling": op11_spelling,
     "op12_negatives": op12_negatives,
     "op13_decontamination": op13_decontamination,
 }
