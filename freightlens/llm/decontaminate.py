@@ -380,8 +380,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
 def longest_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
                     octets: int = GROUP_OCTETS) -> DataFrame:
     """``item_id, n_words, item_start, doc_id, doc_start``: the longest verbatim match
-    of each item in the documents that is not shorter than its window, and one place
-    where it is. Ties fall to the smaller ``doc_id``, then to the earlier place."""
+    of each item in the documents that is not shorter than its window, and one of the
+    places where it is."""
     plain = docs.select("doc_id", "text")
     kind = plain.schema["doc_id"].dataType.simpleString()
     found = reduce(DataFrame.unionByName, [

@@ -277,9 +277,10 @@ def partitions(words: DataFrame, letters: int = PART_LETTERS) -> DataFrame:
         # A cut prefix goes on to where its first and last word part: so do all others.
         common = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length("low"), F.length("high"))),
                                  lambda i: F.left("low", i) == F.left("high", i)))
-        sizes = sizes.select(
+        # Stored on its own, so that the join can split a prefix that most words share.
+        sizes = reliable_checkpoint(sizes.select(
             "prefix", F.when(large, F.left("low", common)).alias("cut"),
-            F.ceil(F.col("letters") / letters).alias("parts"))
+            F.ceil(F.col("letters") / letters).alias("parts")))
         open_ = reliable_checkpoint(open_.join(sizes, "prefix"))
         small = open_.where("cut is null").select(
             F.col("upper").alias("prefix"), (-1 - at("prefix", F.col("bins"))).alias("block"),
