@@ -38,10 +38,14 @@ def bin_of(x: Column, edges: Sequence[float | None]) -> Column:
     return F.when(x.isNotNull(), index)
 
 
-def qcut(df: DataFrame, value: str | Column, bins: int, name: str = "bin") -> DataFrame:
-    """Add the quantile bin of ``value`` (1 .. ``bins``)."""
+def qcut(
+    df: DataFrame, value: str | Column, bins: int, name: str = "bin", keep: bool = True
+) -> DataFrame:
+    """Add the quantile bin of ``value`` (1 .. ``bins``). ``keep=False`` is for inputs
+    cheap to read (see ``quantile_edges``)."""
     column = F.col(value) if isinstance(value, str) else value
-    return df.withColumn(name, bin_of(clean(column), quantiles(df, column, probabilities(bins))))
+    edges = quantiles(df, column, probabilities(bins), keep=keep)
+    return df.withColumn(name, bin_of(clean(column), edges))
 
 
 def cut(value: str | Column, edges: Sequence[float], labels: Sequence | None = None) -> Column:

@@ -153,12 +153,15 @@ def _narrowed(rows: DataFrame, keys: list[str], by: list[str], probs: Sequence[f
 
 
 def quantiles(
-    df: DataFrame, value: str | Column, probs: Sequence[float], weight: str | None = None
+    df: DataFrame, value: str | Column, probs: Sequence[float], weight: str | None = None,
+    keep: bool = True,
 ) -> list[float | None]:
     """The quantiles of a whole column; NULLs if it has no values."""
-    row = quantile_edges(df, value, probs, weight=weight).first()
+    row = quantile_edges(df, value, probs, weight=weight, keep=keep).first()
     return list(row["edges"]) if row else [None] * len(probs)
 
 
-def quantile(df: DataFrame, value: str | Column, prob: float) -> float | None:
-    return quantiles(df, value, [prob])[0]
+def quantile(
+    df: DataFrame, value: str | Column, prob: float, keep: bool = True
+) -> float | None:
+    return quantiles(df, value, [prob], keep=keep)[0]

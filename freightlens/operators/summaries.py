@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,93 +90,6 @@ def box_stats(df: DataFrame, group: str, y: str) -> DataFrame:
     ).where("count > 0")
 
 
-def _spread(counts: DataFrame) -> DataFrame:
-    """Over all cores: every row is about to meet a whole grid, so partitions that
-    are small in bytes are not small in work."""
-    spark = counts.sparkSession
-    return counts.repartition(max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def _grid(low: Column, high: Column, points: int) -> Column:
-    """``points`` evenly spaced positions as an array of (g, position)."""
-    step = (high - low) / (points - 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(
-        i.alias("g"), (low + i * step).alias("at")))
-
-
-def kde(
-    df: DataFrame, value: str | Column, points: int = 200, cut: float = 3.0,
-    by: Sequence[str] = (),
-) -> DataFrame:
-    """Gaussian density estimate with Scott's bandwidth on an even grid reaching
-    ``cut`` bandwidths beyond the data, per group of ``by``.
-
-    Equal values are counted first, so the grid is laid out per distinct value.
-    """
-    keys = list(by)
-    known = df.select(*keys, clean(value).alias("x")).na.drop()
-    counts = _spread(known.groupBy(*keys, "x").agg(F.count("*").alias("w")))
-    shape = [F.count("x").alias("n"), F.stddev_samp("x").alias("s"),
-             F.min("x").alias("lo"), F.max("x").alias("hi")]
-    stats = known.groupBy(*keys).agg(*shape) if keys else known.agg(*shape)
-    stats = stats.withColumn("h", F.col("s") * F.pow("n", F.lit(-0.2))).where("h > 0")
-    if keys:
-        based = counts.join(stats, keys)
-    else:
-        row = stats.first()
-        if row is None:
-            return counts.select(F.lit(0).alias("g"), F.col("x"), F.lit(0.0).alias("density")).limit(0)
-        based = counts.select("*", *[F.lit(row[c]).alias(c) for c in ("n", "lo", "hi", "h")])
-    reach = F.col("h") * F.lit(float(cut))
-    laid = based.select(
-        *keys, "x", "w", "n", "h", F.inline(_grid(F.col("lo") - reach, F.col("hi") + reach, points)))
-    z = (F.col("at") - F.col("x")) / F.col("h")
-    mass = F.sum(F.col("w") * F.exp(-z * z / 2))
-    scale = F.first("n") * F.first("h") * F.lit(math.sqrt(2 * math.pi))
-    return laid.groupBy(*keys, "g").agg(
-        F.first("at").alias("x"), (mass / scale).alias("density"))
-
-
-def kde_2d(
-    df: DataFrame, x: str | Column, y: str | Column, points: int = 50, cut: float = 3.0
-) -> DataFrame:
-    """Two-dimensional Gaussian density estimate with Scott's factor and the full
-    covariance of the data."""
-    known = df.select(clean(x).alias("x"), clean(y).alias("y")).na.drop()
-    s = known.agg(
-        F.count("*").alias("n"), F.var_samp("x").alias("xx"), F.var_samp("y").alias("yy"),
-        F.covar_samp("x", "y").alias("xy"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-        F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    empty = known.select(F.lit(0).alias("gx"), F.lit(0).alias("gy"), "x", "y",
-                         F.lit(0.0).alias("density")).limit(0)
-    factor = s["n"] ** (-1 / 6) if s["n"] else 0.0
-    if not s["n"] or s["xx"] is None:
-        return empty
-    xx, yy, xy = (s[c] * factor**2 for c in ("xx", "yy", "xy"))
-    det = xx * yy - xy * xy
-    if det <= 0:
-        return empty
-    hx, hy = math.sqrt(xx), math.sqrt(yy)
-    counts = _spread(known.groupBy("x", "y").agg(F.count("*").alias("w")))
-    gx = _grid(F.lit(s["x0"] - cut * hx), F.lit(s["x1"] + cut * hx), points)
-    gy = _grid(F.lit(s["y0"] - cut * hy), F.lit(s["y1"] + cut * hy), points)
-    laid = counts.select("x", "y", "w", F.inline(gx)).withColumnsRenamed(
-        {"g": "gx", "at": "ax"}).select("*", F.inline(gy)).withColumnsRenamed(
-        {"g": "gy", "at": "ay"})
-    dx, dy = F.col("ax") - F.col("x"), F.col("ay") - F.col("y")
-    energy = (dx * dx * yy - 2 * dx * dy * xy + dy * dy * xx) / (2 * det)
-    norm = s["n"] * 2 * math.pi * math.sqrt(det)
-    return laid.groupBy("gx", "gy").agg(
-        F.first("ax").alias("x"), F.first("ay").alias("y"),
-        (F.sum(F.col("w") * F.exp(-energy)) / F.lit(norm)).alias("density"))
-
-
-def violin(df: DataFrame, group: str, y: str, points: int = 100) -> DataFrame:
-    """Density of ``y`` per group, reaching two bandwidths beyond the data."""
-    return kde(df, y, points=points, cut=2.0, by=[group])
-
-
 def mean_band(df: DataFrame, key: str, y: str) -> DataFrame:
     """Mean per key with the band of one standard deviation around it."""
     return group_stats(df, [key], y).select(

@@ -15,7 +15,7 @@ from freightlens import constants as c
 from freightlens.functions import clean, clip_upper, flag, log1p, ratio
 from freightlens.operators.binning import bin_of, cut, probabilities, qcut
 from freightlens.operators.lookup import attach, attach_aggregate, stored
-from freightlens.operators.quantiles import quantile, quantiles
+from freightlens.operators.quantiles import quantile, quantile_edges, quantiles
 from freightlens.operators.stats import flag_contrast, group_stats
 from freightlens.plans.domain import Domain
 from freightlens.plans.encoders import base_features
@@ -42,11 +42,11 @@ def with_volumes(df: DataFrame) -> DataFrame:
 def decile_stats(df: DataFrame, x: str, bins: int = 10, clip: float | None = None) -> DataFrame:
     """Target statistics per quantile bin of ``x``; values may be held at an
     upper quantile first."""
+    pairs = reliable_checkpoint(df.select(clean(x).alias("__v"), F.col(Y)))
     if clip is not None:
-        df = df.withColumn("__v", clean(x))
-        df = df.withColumn("__v", clip_upper("__v", F.lit(quantile(df, "__v", clip))))
-        x = "__v"
-    return group_stats(qcut(df, x, bins), ["bin"], Y)
+        pairs = pairs.withColumn("__v", clip_upper("__v", F.lit(
+            quantile(pairs, "__v", clip, keep=False))))
+    return group_stats(qcut(pairs, "__v", bins, keep=False), ["bin"], Y)
 
 
 def weight_stats(df: DataFrame) -> DataFrame:
@@ -64,13 +64,23 @@ QUANTILE_FLAGS = {
 
 
 def with_quantile_flags(
-    df: DataFrame, flags: Mapping[str, tuple[str, float, str]] = QUANTILE_FLAGS
+    df: DataFrame, flags: Mapping[str, tuple[str, float, str]] = QUANTILE_FLAGS,
+    keep: bool = True,
 ) -> DataFrame:
+    """Flags of the side of a quantile that a row is on. ``keep=False`` is for inputs
+    cheap to read (see ``quantile_edges``)."""
     added = {}
     columns = {column for column, _, _ in flags.values()}
-    narrow = reliable_checkpoint(df.select(*[clean(c).alias(c) for c in sorted(columns)]))
-    bounds = {
-        name: quantile(narrow, column, prob) for name, (column, prob, _) in flags.items()}
+    narrow = df.select(*[clean(c).alias(c) for c in sorted(columns)])
+    narrow = reliable_checkpoint(narrow) if keep else narrow
+    # All columns are located at once, as groups of one long column.
+    wanted = sorted({prob for _, prob, _ in flags.values()})
+    edges = {r["column"]: r["edges"] for r in quantile_edges(
+        narrow.unpivot([], sorted(columns), "column", "value"), "value", wanted, by=["column"],
+        keep=False).collect()}
+    absent = [None] * len(wanted)
+    bounds = {name: edges.get(column, absent)[wanted.index(prob)]
+              for name, (column, prob, _) in flags.items()}
     for name, (column, _, side) in flags.items():
         bound = F.lit(bounds[name])
         value = clean(column)
@@ -89,7 +99,10 @@ PLAIN_FLAGS = ["heavy_item_flag", "remote_state_flag", "ultra_cheap_freight", "l
 
 def flag_summary(df: DataFrame) -> DataFrame:
     """Contrast of every flag, plain and by quantile."""
-    flagged = with_quantile_flags(df)
+    columns = sorted({column for column, _, _ in QUANTILE_FLAGS.values()})
+    # Stored once: the bounds and the contrast both read it.
+    narrow = reliable_checkpoint(df.select(Y, *PLAIN_FLAGS, *columns))
+    flagged = with_quantile_flags(narrow, keep=False)
     return flag_contrast(flagged, PLAIN_FLAGS + list(QUANTILE_FLAGS), Y)
 
 
@@ -149,6 +162,7 @@ CORRELATED = {
 def clipped_pair(df: DataFrame, x: str, log: bool = False, prob: float = 0.99) -> DataFrame:
     """``x`` held at an upper quantile (and logged) with the target: the input of
     the two-dimensional counts and smooth curves."""
-    values = df.select(clean(x).alias("x"), F.col(Y).alias("y")).na.drop()
-    held = clip_upper("x", F.lit(quantile(values, "x", prob)))
+    # Stored before the filter, which would else be computed again inside the joins of df.
+    values = reliable_checkpoint(df.select(clean(x).alias("x"), F.col(Y).alias("y"))).na.drop()
+    held = clip_upper("x", F.lit(quantile(values, "x", prob, keep=False)))
     return values.select((log1p(held) if log else held).alias("x"), "y")

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from freightlens.operators import ranks, sampling, smooth, stats, summaries
+from freightlens.operators import densities, ranks, sampling, smooth, stats, summaries
 from freightlens.operators.lookup import attach
 
 
@@ -117,9 +117,9 @@ def test_robust_rounds_resist_an_outlier(spark):
 
 def test_densities_sum_to_one(spark):
     pdf, df = data(spark)
-    curve = summaries.kde(df, "x", points=200).orderBy("g").toPandas()
+    curve = densities.kde(df, "x", points=200).orderBy("g").toPandas()
     assert np.trapezoid(curve["density"], curve["x"]) == pytest.approx(1.0, abs=0.01)
-    plane = summaries.kde_2d(df, "x", "y", points=40).toPandas()
+    plane = densities.kde_2d(df, "x", "y", points=40).toPandas()
     steps = [np.diff(np.sort(plane[c].unique()))[0] for c in ("x", "y")]
     assert plane["density"].sum() * steps[0] * steps[1] == pytest.approx(1.0, abs=0.02)
 

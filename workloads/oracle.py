@@ -761,13 +761,13 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
     out["violin_density"] = sql(
         f"select purchase_month, cast(g as int) as g, {rs(6, 'x', 'density')} from dens",
         {"xs": f"select purchase_month, {Y}::double as x from feat"},
-        density(30, 2.0, "purchase_month"))
+        density(100, 2.0, "purchase_month"))
     clipped = ("select least({0}, q) as x, " + Y + "::double as y from feat, "
                "(select quantile_cont({0}, 0.99) as q from feat) where {0} is not null")
     out["kde_1d"] = sql(
         f"select cast(g as int) as g, {rs(6, 'x', 'density')} from dens",
         {"xs": clipped.format("freight_per_km")}, density(200, 3.0))
-    step = "({0}1+3*h{0}-({0}0-3*h{0}))/14"
+    step = "({0}1+3*h{0}-({0}0-3*h{0}))/49"
     out["kde_2d"] = sql(
         f"select cast(gx as int) as gx, cast(gy as int) as gy, {rs(9, 'x', 'y', 'density')} "
         "from dens2", {
@@ -778,7 +778,7 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
               min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from xs)""",
             "gr": f"""select gx, gy, x0-3*hx+gx*{step.format('x')} as ax,
               y0-3*hy+gy*{step.format('y')} as ay, sh.* from sh,
-              (select unnest(range(0,15)) as gx), (select unnest(range(0,15)) as gy)""",
+              (select unnest(range(0,50)) as gx), (select unnest(range(0,50)) as gy)""",
             "cn": "select x, y, count(*) as w from xs group by all",
             "dens2": """select gx, gy, any_value(ax) as x, any_value(ay) as y,
               sum(w*exp(-((ax-x)*(ax-x)*yy-2*(ax-x)*(ay-y)*xy+(ay-y)*(ay-y)*xx)/(2*det)))
@@ -790,7 +790,7 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
     out["lowess_curve"] = sql(
         f"select cast(g as int) as g, {r('any_value(pos)', 'x')}, "
         + r("(sum(w*u*u)*sum(w*y)-sum(w*u)*sum(w*u*y))/(sum(w)*sum(w*u*u)-sum(w*u)*sum(w*u))",
-            "fit") + " from near group by g", lowess_tables("price", 0.15, 21))
+            "fit") + " from near group by g", lowess_tables("price", 0.15, 50))
 
     out["route_edges"] = sql("select * from edges")
     out["degree_centrality"] = sql(

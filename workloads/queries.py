@@ -24,7 +24,7 @@ from freightlens.models.preprocess import fit_preprocessing, impute_and_scale
 from freightlens.models.trees import (
     cross_validate, fit_boosted_trees, forest_residuals, score_summary,
 )
-from freightlens.operators import graph, ranks, sampling, smooth, stats, summaries
+from freightlens.operators import densities, graph, ranks, sampling, smooth, stats, summaries
 from freightlens.operators.binning import cut_width
 from freightlens.operators.lookup import attach, attach_aggregate, stored
 from freightlens.operators.quantiles import quantile, quantiles
@@ -563,19 +563,19 @@ def _(t):
 
 @query("violin_density")
 def _(t):
-    return summaries.violin(t.base, "purchase_month", Y, points=30)
+    return densities.violin(t.base, "purchase_month", Y)
 
 
 @query("kde_1d")
 def _(t):
     pair = explore.clipped_pair(t.base, "freight_per_km")
-    return summaries.kde(pair, "x", points=200)
+    return densities.kde(pair, "x", points=200, keep=False)
 
 
 @query("kde_2d", 9)
 def _(t):
     pair = explore.clipped_pair(t.base, "product_density")
-    return summaries.kde_2d(pair, "x", "y", points=15)
+    return densities.kde_2d(pair, "x", "y", keep=False)
 
 
 @query("month_band")
@@ -585,7 +585,7 @@ def _(t):
 
 @query("lowess_curve")
 def _(t):
-    return smooth.lowess_grid(t.plain_star, "price", Y, frac=0.15, points=21)
+    return smooth.lowess_grid(t.plain_star, "price", Y, frac=0.15)
 
 
 @query("lowess_robust")
