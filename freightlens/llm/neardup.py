@@ -9,8 +9,9 @@ their weighted Jaccard similarity.
 
 Documents with the same shingles are one text. Texts that agree in a band meet in a
 join on the band's hash with the bucket's first few texts; what joins the same class
-is not compared again. Where a bucket still holds several classes, their signatures
-are compared in blocks, and only pairs that may be alike leave them.
+is not compared again. Where a bucket still holds several classes, its texts are
+compared in blocks, by signatures first and then by their sets, and a spanning forest
+of the links leaves them: never more rows than texts.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ PIECE_OCTETS = 4_000_000
 ROW_OCTETS = 4000  # darts of a document, as text
 # Texts of a bucket that the rounds compare with, and how many for each text.
 FIRST_ROUNDS = ((1, 1), (16, 4))
-BLOCK_TEXTS = 1500
+BLOCK_TEXTS, BLOCK_SHINGLES = 1500, 1_000_000
 
 
 def shingles(words: list[bytes], hashing: WordHashes, rolling: RollingHash,
@@ -181,44 +182,102 @@ def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
             F.col("to").alias("x"), F.coalesce("y", "other").alias("y"))
 
 
-def _alike(bound: float, similarity: float):
-    """Pairs of different classes in a bucket whose signatures (an octet for each
-    coordinate) agree in at least a share ``bound``; between two blocks of a bucket,
-    or inside one."""
+def _short(salt: int):
+    """Sets as 32 bits of each hash, for comparing them inside blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column("set")
+            ends = sets.offsets.to_numpy()
+            values = sets.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            packed = (mixed(values + np.uint64(salt)) >> np.uint64(32)).astype(np.uint32)
+            column = pa.array([packed[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*(c for c, n in zip(batch.columns, batch.schema.names) if n != "set"), column],
+                names=[*(n for n in batch.schema.names if n != "set"), "short"])
+
+    return run
+
+
+def _linked(bound: float, similarity: float):
+    """Links between the classes in a bucket, between two blocks of it or inside one: a
+    spanning forest of the texts that are alike. Pairs whose signatures (an octet for
+    each coordinate) agree in less than a share ``bound`` are not looked at, nor those
+    of one class by now, nor those that meet in an earlier bucket. The others are
+    compared by their sets."""
 
     def run(group: pa.Table) -> pa.Table:
         marks = np.stack([np.frombuffer(m, np.uint8) for m in group.column("marks").to_pylist()])
         node, label, n, block, low, high = (
             group.column(c).to_numpy() for c in ("node", "label", "n", "block", "low", "high"))
+        shorts, buckets, here = group.column("short"), group.column("keys"), group.column("key")[0].as_py()
+        sets: dict[int, set] = {}
+        keys: dict[int, set] = {}
+        parent: dict[int, int] = {}
+        sizes, classes = n.tolist(), label.tolist()
+
+        def top(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        def one(known: dict, i: int, read) -> set:
+            if i not in known:
+                known[i] = read(i)
+            return known[i]
+
+        words = lambda i: set(np.frombuffer(shorts[i].as_py(), np.uint32).tolist())
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        out: list[np.ndarray] = []
+        out: list[tuple[int, int]] = []
         for at in range(0, len(left), 32):
             rows = left[at:at + 32]
-            share = (marks[rows, None, :] == marks[None, right, :]).mean(axis=2)
+            now = np.array([top(c) for c in classes])
             a, b = n[rows, None], n[None, right]
-            i, j = np.nonzero((share >= bound) & (label[rows, None] != label[None, right])
-                              & (np.minimum(a, b) >= similarity * np.maximum(a, b)))
-            out.append(np.stack([node[rows[i]], node[right[j]]]))
-        pairs = np.sort(np.concatenate(out, axis=1), axis=0) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+            open_ = (now[rows, None] != now[None, right]) & (
+                np.minimum(a, b) >= similarity * np.maximum(a, b))
+            if low[0] == high[0]:
+                open_ &= rows[:, None] < right[None, :]
+            i, j = np.nonzero(open_)
+            share = np.concatenate([
+                (marks[rows[i[k:k + 20_000]]] == marks[right[j[k:k + 20_000]]]).mean(axis=1)
+                for k in range(0, len(i), 20_000)] or [np.empty(0)])
+            for x, y in zip(rows[i[share >= bound]].tolist(), right[j[share >= bound]].tolist()):
+                p, q = top(classes[x]), top(classes[y])
+                if p == q:
+                    continue
+                shared = one(keys, x, lambda i: set(buckets[i].as_py())) & one(
+                    keys, y, lambda i: set(buckets[i].as_py()))
+                if min(shared) != here:
+                    continue
+                common = len(one(sets, x, words) & one(sets, y, words))
+                if common >= similarity * (sizes[x] + sizes[y] - common):
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(node[x]), int(node[y])))
+        ends = list(zip(*out)) or [(), ()]
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
 
     return run
 
 
-def _blocked(placed: DataFrame, marks: DataFrame, similarity: float,
-             coordinates: int) -> DataFrame:
-    """Pairs of different classes that share a bucket and may be ``similarity`` alike:
-    their sizes allow it, and the signature falls short by at most five deviations of
-    its estimate. A large bucket is
-    cut into blocks, and every two of its blocks meet in a group of their own."""
-    blocks = F.ceil(F.col("size") / BLOCK_TEXTS)
-    rows = placed.join(marks, "node").select(
-        "key", "node", "label", "n", "marks", F.pmod(F.xxhash64("node"), blocks).alias("block"),
+def _blocked(placed: DataFrame, marks: DataFrame, sets: DataFrame, similarity: float,
+             coordinates: int, salt: int) -> DataFrame:
+    """Links between classes that share a bucket: no more from a bucket's block than it
+    has texts. Pairs are compared if their signature falls short of ``similarity`` by at
+    most five deviations of its estimate. A large bucket is cut into blocks, by its
+    texts and by their shingles, and every two of its blocks meet in a group of their
+    own."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_TEXTS), F.ceil(
+        F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    keys = placed.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    rows = placed.join(marks.join(keys, "node").join(sets, "node").mapInArrow(
+        _short(salt), "node long, marks binary, keys array<long>, short binary"), "node").select(
+        "key", "node", "label", "n", "marks", "keys", "short",
+        F.pmod(F.xxhash64("node"), blocks).alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     bound = similarity - 5 * (similarity * (1 - similarity) / coordinates) ** 0.5
     return rows.groupBy("key", "low", "high").applyInArrow(
-        _alike(bound, similarity), "a long, b long").distinct()
+        _linked(bound, similarity), "a long, b long").distinct()
 
 
 def _drawn(placed: DataFrame, width: int, few: int, similarity: float) -> DataFrame:
@@ -242,6 +301,15 @@ def _drawn(placed: DataFrame, width: int, few: int, similarity: float) -> DataFr
     return chosen.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"))
 
 
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that are alike by their whole sets."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return reliable_checkpoint(both.where(
+        common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+
 def _rounds(members: DataFrame, sets: DataFrame, marks: DataFrame,
             similarity: float, coordinates: int) -> DataFrame:
     """Classes (``node, label``) of the members of buckets (``key, node, n``).
@@ -255,20 +323,22 @@ def _rounds(members: DataFrame, sets: DataFrame, marks: DataFrame,
     for width, few in (*FIRST_ROUNDS, (0, 0)):
         placed = members.join(labels, "node")
         several = placed.groupBy("key").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")
-        ).where("low <> high").select("key", "size")
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"),
+            F.sum("n").alias("shingles")).where("low <> high").select("key", "size", "shingles")
         placed = reliable_checkpoint(placed.join(several, "key"))
         if placed.isEmpty():
             return labels
-        pairs = _drawn(placed, width, few, similarity) if few else _blocked(
-            placed, marks, similarity, coordinates)
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        alike = reliable_checkpoint(both.where(
-            common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b"))
-        labels = merged(labels, alike)
+        if few:
+            labels = merged(labels, _checked(
+                _drawn(placed, width, few, similarity), sets, similarity))
         members = placed.select("key", "node", "n")
+    salt, failed = 0, True
+    while failed:  # a link by 32 bits that the whole sets deny could hide another one
+        links = reliable_checkpoint(_blocked(
+            placed.drop("label").join(labels, "node"), marks, sets, similarity, coordinates, salt))
+        good = _checked(links, sets, similarity)
+        labels, salt = merged(labels, good), salt + 1
+        failed = links.count() > good.count()
     return labels
 
 

@@ -385,3 +385,37 @@ def test_pipeline(spark, folder):
     empty = documents.where("false")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0, name
+
+
+def test_near_duplicates_leave_a_block_as_a_forest():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**32, 400, dtype=np.uint32)
+    sets = []
+    for i in range(300):  # every other text keeps 93 % of the base, the rest is alone
+        new = rng.integers(0, 2**32, 400, dtype=np.uint32)
+        sets.append(np.where(rng.random(400) < (0.93 if i % 2 else 0.4), base, new))
+    # Signatures agree as often as sets do; the sets decide.
+    picks = [np.where(rng.random(150) < np.isin(s, base).mean(), 1, rng.integers(2, 250, 150))
+             for s in sets]
+    group = pa.table({
+        "key": [5] * 300, "node": list(range(300)), "label": list(range(300)), "n": [400] * 300,
+        "marks": [p.astype(np.uint8).tobytes() for p in picks], "keys": [[5, 9]] * 300,
+        "short": [s.tobytes() for s in sets], "block": [0] * 300, "low": [0] * 300, "high": [0] * 300})
+    links = neardup._linked(0.0, 0.8)(group).to_pylist()
+    reach = list(range(300))
+    for link in links:
+        reach = [reach[link["a"]] if x == reach[link["b"]] else x for x in reach]
+    alike = [[len(np.intersect1d(a, b)) / (800 - len(np.intersect1d(a, b))) >= 0.8 for b in sets]
+             for a in sets]
+    wanted = list(range(300))
+    for i in range(300):
+        for j in range(i):
+            if alike[i][j]:
+                wanted = [wanted[i] if x == wanted[j] else x for x in wanted]
+    assert len(links) == 300 - len(set(wanted)) < 150
+    assert len(set(zip(reach, wanted))) == len(set(wanted)) == len(set(reach))
+    # A pair that an earlier bucket has is left to that bucket.
+    later = group.set_column(5, "keys", pa.array([[3, 5]] * 300))
+    assert neardup._linked(0.0, 0.8)(later).num_rows == 0
