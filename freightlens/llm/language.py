@@ -138,27 +138,32 @@ def fit(labelled: DataFrame, lang: str = "lang", sample_rows: int = SAMPLE_ROWS,
     """Learn from ``text`` and a label column.
 
     Document frequencies count every labelled row. The centroids are fitted on at
-    most ``sample_rows`` rows, spread evenly over the languages and picked by a hash
-    of the text. A centroid accepts cosines down to ``slack`` times the first
-    percentile of its sample. Rows with a null text or label are left out; ties of
-    the pick fall to equal texts, which are interchangeable.
+    most ``sample_rows`` different texts, spread evenly over the languages and picked
+    by a hash of the text; copies count once. Centroids accept cosines down to
+    ``slack`` times the first percentile of their language's sample. Rows with a null
+    text or label are left out.
     """
     rows = labelled.select("text", F.col(lang).alias("lang")).where(
         "text is not null and lang is not null")
     found = rows.select("text").mapInArrow(_frequencies, "feature int, docs long").groupBy(
         "feature").agg(F.sum("docs").alias("docs")).collect()
-    by_language = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(
-        F.count("*").alias("n")).collect()}
+    by_language = {r["lang"]: r for r in rows.groupBy("lang").agg(
+        F.count("*").alias("n"), F.approx_count_distinct("text").alias("texts")).collect()}
     df = np.zeros(FEATURES)
     for row in found:
         df[row["feature"]] = row["docs"]
-    idf = np.log((1 + sum(by_language.values())) / (1 + df)) + 0.1
+    idf = np.log((1 + sum(r["n"] for r in by_language.values())) / (1 + df)) + 0.1
     if not by_language:
         return LanguageModel(idf, np.zeros((0, FEATURES)), [], np.zeros(0))
     each = max(1, sample_rows // len(by_language))
-    ranked = rows.select("lang", "text", F.xxhash64("text").alias("pick"))
+    # About four times the sample is taken by its hash before anything is sorted.
+    share = F.create_map(*[F.lit(x) for lang, r in by_language.items() for x in (
+        lang, min(1.0, 4 * each / max(r["texts"], 1)))])
+    picked = rows.select("lang", "text", F.xxhash64("text").alias("pick")).where(
+        F.col("pick") / 2.0**64 + 0.5 <= share[F.col("lang")]).groupBy("lang", "pick").agg(
+        F.min("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("pick")
-    sample = ranked.withColumn("rank", F.row_number().over(order)).where(
+    sample = picked.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= each).select("lang", "text")
 
     def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +182,10 @@ def fit(labelled: DataFrame, lang: str = "lang", sample_rows: int = SAMPLE_ROWS,
     for name in sorted(points):
         own = np.stack(sorted(points[name], key=lambda v: v.tobytes()))
         found_centres = cluster(own, centroids)
-        cosines = own @ found_centres.T
-        nearest = np.argmax(cosines, axis=1)
-        for i, centre in enumerate(found_centres):
-            mine = cosines[nearest == i, i]
-            centres.append(centre)
-            languages.append(name)
-            least.append(slack * np.quantile(mine, 0.01) if len(mine) else 0.0)
+        bound = slack * np.quantile((own @ found_centres.T).max(axis=1), 0.01)
+        centres += list(found_centres)
+        languages += [name] * len(found_centres)
+        least += [bound] * len(found_centres)
     return LanguageModel(idf, np.array(centres).reshape(-1, FEATURES), languages, np.array(least))
 
 

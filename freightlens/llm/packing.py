@@ -34,14 +34,14 @@ class ChunkTokenizer:
     front of it, so a text without two white spaces in a row is the concatenation
     of its chunks, each with the space or line end before it. Chunks are encoded
     once and remembered, up to a bound; any other text is encoded whole. Two white
-    spaces in a row, or one at an end, show in a chunk: it is odd.
+    spaces in a row, or one at an end, show in a chunk: it is odd. So is one that may
+    hold a special token of the file, which a whole text is encoded with as it stands.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()

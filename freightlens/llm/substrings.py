@@ -31,6 +31,7 @@ PIECE_OCTETS = 4_000_000
 BLOCK_OCTETS = 12_000_000
 BUCKET_WINDOWS = 400_000
 OCTETS_PER_WORD = 6
+OWN_BLOCK = "own_block"
 
 
 class WindowHashes:
@@ -160,50 +161,93 @@ def repeated_windows(docs: DataFrame, width: int, octets: int, blocks: int) -> D
         _settle(blocks), "block long, docs binary, hashes binary")
 
 
-def _cut(width: int, key: str | None):
+def _kept(batches: Iterator[pa.RecordBatch], gone: pa.Table, width: int,
+          hashing: WindowHashes) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Rows in pieces, and for each row: id, words, kept words and removed intervals."""
+    owner = np.frombuffer(b"".join(gone.column("docs").to_pylist()), np.int64)
+    hashes = np.frombuffer(b"".join(gone.column("hashes").to_pylist()), np.uint64)
+    order = np.argsort(owner, kind="stable")
+    owner, hashes = owner[order], hashes[order]
+    for batch in chunks(batches, "text", PIECE_OCTETS):
+        rows = []
+        for doc, text in zip(
+                batch.column("doc_id").to_pylist(), utf8_values(batch.column("text"))):
+            words, spans = split_words(text), []
+            kept = words
+            first, last = (0, 0) if doc is None else (
+                np.searchsorted(owner, doc, side) for side in ("left", "right"))
+            if first < last:
+                repeated = np.isin(hashing.one(words), hashes[first:last])
+                edge = np.zeros(len(words) + 1, np.int64)
+                starts = np.flatnonzero(repeated)
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, starts + width, -1)
+                covered = np.append(np.cumsum(edge)[:-1] > 0, False)
+                turns = np.flatnonzero(np.diff(covered, prepend=False))
+                spans = [{"start": int(a), "end": int(b)} for a, b in turns.reshape(-1, 2)]
+                kept = [w for w, gone in zip(words, covered) if not gone]
+            rows.append((doc, words, kept, spans))
+        yield batch, rows
+
+
+def _cut(width: int):
     schema = pa.schema([
         ("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()),
         ("n_removed", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-    whole = schema.append(pa.field(key, pa.binary())) if key else schema
-
     hashing = WindowHashes(width)
 
     def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
-        owner = np.frombuffer(b"".join(gone.column("docs").to_pylist()), np.int64)
-        hashes = np.frombuffer(b"".join(gone.column("hashes").to_pylist()), np.uint64)
-        order = np.argsort(owner, kind="stable")
-        owner, hashes = owner[order], hashes[order]
         tables = []
-        for batch in chunks(docs.to_batches(), "text", PIECE_OCTETS):
-            rows = []
-            for doc, text in zip(
-                    batch.column("doc_id").to_pylist(), utf8_values(batch.column("text"))):
-                words, spans = split_words(text), []
-                kept = words
-                first, last = (0, 0) if doc is None else (
-                    np.searchsorted(owner, doc, side) for side in ("left", "right"))
-                if first < last:
-                    repeated = np.isin(hashing.one(words), hashes[first:last])
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    starts = np.flatnonzero(repeated)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + width, -1)
-                    covered = np.append(np.cumsum(edge)[:-1] > 0, False)
-                    turns = np.flatnonzero(np.diff(covered, prepend=False))
-                    spans = [{"start": int(a), "end": int(b)} for a, b in turns.reshape(-1, 2)]
-                    kept = [w for w, gone in zip(words, covered) if not gone]
-                rows.append((doc, b" ".join(kept).decode(), len(words),
-                             len(words) - len(kept), spans))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), schema.types)]
+        for _, rows in _kept(docs.to_batches(), gone, width, hashing):
+            cut = [(doc, b" ".join(kept).decode(), len(words), len(words) - len(kept), spans)
+                   for doc, words, kept, spans in rows]
             tables.append(pa.RecordBatch.from_arrays(
-                columns + ([batch.column(key)] if key else []), schema=whole))
-        return pa.Table.from_batches(tables, whole)
+                [pa.array(c, t) for c, t in zip(zip(*cut), schema.types)], schema=schema))
+        return pa.Table.from_batches(tables, schema)
+
+    return run
+
+
+def _cut_rows(width: int, names: list[str]):
+    hashing = WindowHashes(width)
+
+    def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
+        docs = docs.select(names)
+        tables, text = [], names.index("text")
+        for batch, rows in _kept(docs.to_batches(), gone, width, hashing):
+            texts = [b" ".join(kept).decode() if len(kept) < len(words) else old
+                     for old, (_, words, kept, _) in zip(batch.column(text).to_pylist(), rows)]
+            columns = batch.columns
+            columns[text] = pa.array(texts, docs.schema.field(text).type)
+            tables.append(pa.RecordBatch.from_arrays(columns, schema=docs.schema))
+        return pa.Table.from_batches(tables, docs.schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, key: str | None = None) -> DataFrame:
+def _cogrouped(docs: DataFrame, width: int):
+    """The rows by block of documents, next to the windows that go from each block."""
+    octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, round(octets / BLOCK_OCTETS))
+    # Rows without an id have no block of their own and are spread by their text.
+    block = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))) % blocks
+    gone = repeated_windows(docs, width, octets, blocks)
+    return docs.withColumn(OWN_BLOCK, block).groupBy(OWN_BLOCK).cogroup(gone.groupBy("block"))
+
+
+def cut_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
+    """The rows of ``docs``, with all columns: ``text`` is as ``remove_repeats`` leaves
+    it where words are removed, and stays as it is, white space included, elsewhere."""
+    # Other columns may have any name; the one of the block is not theirs.
+    names = ["doc_id" if c == "doc_id" else "text" if c == "text" else f"c{i}"
+             for i, c in enumerate(docs.columns)]
+    named = docs.toDF(*names)
+    cut = _cogrouped(named, width).applyInArrow(_cut_rows(width, names), named.schema)
+    return cut.toDF(*docs.columns)
+
+
+def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """Documents without the passages that a document with a smaller id has.
 
     Returns ``doc_id, text, n_words, n_removed, spans`` for every row: the kept
@@ -213,16 +257,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, key: str | None = None) ->
     Null or empty texts have no words and come back empty. Rows with a null
     ``doc_id`` are neither larger nor smaller than others: they lose nothing and
     cause no loss. Rows that share a ``doc_id`` are one document to each other.
-    ``key`` names a binary column that comes back as well and tells such rows apart.
     Other columns are ignored; an empty table gives an empty result.
     """
-    octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, round(octets / BLOCK_OCTETS))
-    # Rows without an id have no block of their own and are spread by their text.
-    block = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))) % blocks
-    gone = repeated_windows(docs, width, octets, blocks)
-    kept = ["doc_id", "text"] + ([key] if key else [])
-    return docs.select(*kept, block.alias("own_block")).groupBy(
-        "own_block").cogroup(gone.groupBy("block")).applyInArrow(
-        _cut(width, key), "doc_id long, text string, n_words long, n_removed long, "
-        "spans array<struct<start:long,end:long>>" + (f", `{key}` binary" if key else ""))
+    return _cogrouped(docs.select("doc_id", "text"), width).applyInArrow(
+        _cut(width), "doc_id long, text string, n_words long, n_removed long, "
+        "spans array<struct<start:long,end:long>>")

@@ -76,7 +76,7 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
+    assert 50256 in tokenizer.encode(ROWS[-1][1], add_special_tokens=False).ids
     got = packing.pack(docs, tokenizer_path(), capacity=256).collect()
     made, sequences = Counter(), defaultdict(list)
     for r in got:
@@ -419,3 +419,31 @@ def test_near_duplicates_leave_a_block_as_a_forest():
     # A pair that an earlier bucket has is left to that bucket.
     later = group.set_column(5, "keys", pa.array([[3, 5]] * 300))
     assert neardup._linked(0.0, 0.8)(later).num_rows == 0
+
+
+def test_cut_repeats_keeps_rows_and_their_columns(docs, none):
+    clash = docs.withColumnRenamed("bucket", "own_block").withColumnRenamed("node", "block")
+    got = substrings.cut_repeats(clash)
+    assert got.schema == clash.schema and substrings.cut_repeats(none).count() == 0
+    removed = {}
+    for r in substrings.remove_repeats(docs).collect():
+        if r.n_removed:
+            removed.setdefault(r.doc_id, set()).add(r.text)
+    want = Counter()
+    for r in clash.collect():
+        alone = r.doc_id not in removed
+        want[(r.doc_id, r.text if alone else None, r.own_block, r.lang)] += 1
+    assert len(removed) > 1 and want == Counter(
+        (r.doc_id, None if r.doc_id in removed else r.text, r.own_block, r.lang)
+        for r in got.collect())
+    assert all(r.text in removed[r.doc_id] for r in got.collect() if r.doc_id in removed)
+
+
+def test_language_sample_takes_different_texts(spark):
+    ship_package(spark)
+    many = [(i, "the same thing with this and that", "en") for i in range(4000)]
+    other = [(i, f"quel oiseau {i} chante dans les bois de la ville", "fr") for i in range(300)]
+    rows = spark.createDataFrame(many + other, "doc_id long, text string, lang string")
+    model = language.fit(rows, sample_rows=100)
+    got = language.identify(rows, model)
+    assert got.where("rejected or lang_pred <> lang").count() == 0
