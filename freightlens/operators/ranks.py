@@ -9,6 +9,7 @@ from freightlens.functions import clean
 from freightlens.operators.lookup import attach, stored
 from freightlens.operators.quantiles import _log_cell, _sub_cell
 from freightlens.operators.stats import t_statistic, with_p_value
+from freightlens.session import reliable_checkpoint
 
 
 def average_ranks(counts: DataFrame, value: str, weight: str) -> tuple[DataFrame, int]:
@@ -35,7 +36,7 @@ def _with_offsets(values: DataFrame) -> tuple[DataFrame, Column]:
     # At most two times 710 e-folds of cells exist, whatever the data.
     cells = cells.withColumn("__a", F.coalesce(
         F.sum("__cn").over(preceding().orderBy("__c")), F.lit(0))).drop("__cn")
-    fine = celled.join(F.broadcast(cells), "__c").withColumn("__s", F.when(
+    fine = celled.join(cells, "__c").withColumn("__s", F.when(
         F.col("__lo") < F.col("__hi"), _sub_cell(F.col("__x"), F.col("__lo"), F.col("__hi")),
     ).otherwise(F.lit(0)))
     subs = fine.groupBy("__c", "__s").agg(F.sum("__n").alias("__sn"))
@@ -72,10 +73,25 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def value_codes(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Codes 0, 1, ... of the sorted distinct values of a category column."""
+    """Codes 0, 1, ... of the sorted distinct values of a category column.
+
+    The values are parted by ranges and stored, the partitions counted, and each value
+    gets its place in its partition behind the values of all earlier ones.
+    """
     distinct = df.where(F.col(column).isNotNull()).select(column).distinct()
-    return distinct.select(
-        column, (F.row_number().over(Window.orderBy(column)) - 1).cast("int").alias(name))
+    # One range a partition: equal parts of the order, none of them a single task's lot.
+    parted = reliable_checkpoint(distinct.repartitionByRange(column).withColumn(
+        "__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["n"] for r in parted.groupBy("__part").agg(
+        F.count("*").alias("n")).collect()}  # one row a partition
+    before, total = [], 0
+    for part in sorted(sizes):
+        before.append((part, total))
+        total += sizes[part]
+    starts = df.sparkSession.createDataFrame(before, "__part int, __before long")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1
+    return parted.withColumn("__place", place).join(starts, "__part").select(
+        column, (F.col("__before") + F.col("__place")).cast("int").alias(name))
 
 
 def code_of(df: DataFrame, codes: DataFrame, column: str, name: str) -> DataFrame:

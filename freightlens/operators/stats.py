@@ -3,11 +3,10 @@ so a group holding a large share of the rows costs no more than another."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,42 +87,66 @@ def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def with_p_value(stats: DataFrame) -> DataFrame:
-    """Add the two-sided p-value of ``t`` with ``rows - 2`` degrees of freedom.
-
-    With ``T = sqrt(v) tan(a)`` the density of ``a`` is proportional to
-    ``cos(a)^(v-1)``, which is integrated numerically. Spark has no such function;
-    the table is finished and has one row per tested pair.
-    """
-    freedom = F.col("rows").cast("double") - 2
-    return stats.withColumn("p", _t_tail(F.col("t"), freedom))
-
-
-def _t_tail(t: Column, freedom: Column) -> Column:
-    steps = 20_000
-
-    def integral(low: float, high: float, power: float, log_scale: float) -> float:
-        """Simpson's rule for ``cos(a)^power / exp(log_scale)``."""
-        angles = np.linspace(low, high, steps + 1)
-        logs = power * np.log(np.maximum(np.cos(angles), 1e-300))
-        weights = np.ones(steps + 1)
-        weights[1:-1:2], weights[2:-1:2] = 4, 2
-        heights = np.exp(np.maximum(logs - log_scale, -745.0))
-        return float((heights * weights).sum() * (high - low) / steps / 3)
-
-    def tail(value: float, v: float) -> float:
-        if not np.isfinite(value) or v < 1:
-            return np.nan
-        reach = 60.0 / np.sqrt(v)
-        start = np.arctan(abs(value) / np.sqrt(v))
-        peak = (v - 1) * np.log(np.cos(start))
-        part = integral(start, min(np.pi / 2, start + reach), v - 1, peak)
-        whole = integral(0.0, min(np.pi / 2, reach), v - 1, 0.0)
-        return float(min(1.0, np.exp(peak) * part / whole))
-
-    def tails(t: pd.Series, freedom: pd.Series) -> pd.Series:
-        return pd.Series([tail(a, v) for a, v in zip(t, freedom)])
-
-    return F.pandas_udf(tails, "double")(t, freedom)
+    """Add the two-sided p-value of ``t`` with ``rows - 2`` degrees of freedom ``v``:
+    the regularised incomplete beta function at ``v / (v + t*t)`` for ``v/2, 1/2``.
+    NULL below one degree of freedom or without a ``t``. More than ``MOST_FREEDOM``
+    degrees count as so many: the normal distribution is as near."""
+    freedom = F.least(F.col("rows").cast("double") - 2, F.lit(MOST_FREEDOM))
+    shape = F.when(freedom >= 1, freedom / 2)
+    square = F.col("t") * F.col("t")
+    share = _beta_share(square / (freedom + square), freedom / (freedom + square), shape)
+    return stats.withColumn("p", F.when(shape.isNotNull() & square.isNotNull(), share))
+
+
+MOST_FREEDOM = 1e9
+
+
+def _log_gamma_step(a: Column) -> Column:
+    """log(gamma(a + 1/2) / gamma(a)): Stirling's series behind 20 steps of the
+    recurrence, so that nothing large is subtracted."""
+    far = a + 20
+    series = lambda x: (1 / (12 * x) - 1 / (360 * x * x * x)
+                        + 1 / (1260 * x * x * x * x * x))
+    up = far + 0.5
+    at_far = far * F.log1p(F.lit(0.5) / far) - 0.5 + 0.5 * F.log(far) + series(up) - series(far)
+    down = F.aggregate(F.sequence(F.lit(0), F.lit(19)), F.lit(0.0),
+                       lambda total, k: total + F.log1p(F.lit(0.5) / (a + k)))
+    return at_far - down
+
+
+def _beta_share(other: Column, x: Column, a: Column) -> Column:
+    """The regularised incomplete beta function of ``a`` and 1/2 at ``x = 1 - other``.
+    The continued fraction is taken where it settles fast, by Lentz's method, and its
+    mirror image elsewhere."""
+    b = F.lit(0.5)
+    log_scale = _log_gamma_step(a) - F.log(F.lit(math.pi)) / 2
+    height = F.exp(log_scale + a * F.log(x) + b * F.log(other))
+    direct = x < (a + 1) / (a + b + 2)
+    first = height / a * _beta_fraction(a, b, x)
+    mirrored = 1 - height / b * _beta_fraction(b, a, other)
+    return F.when(other == 0, F.lit(1.0)).when(x == 0, F.lit(0.0)).when(
+        direct, first).otherwise(mirrored)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    # It settles after some square roots of the larger parameter.
+    terms = (200 + 8 * F.sqrt(F.greatest(a, b))).cast("int")
+    tiny = F.lit(1e-300)
+    held = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+    start = 1 / held(1 - (a + b) * x / (a + 1))
+    zero = F.struct(F.lit(1.0).alias("c"), start.alias("d"), start.alias("h"))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d = 1 / held(1 + even * s["d"])
+        c = held(1 + even / s["c"])
+        h = s["h"] * d * c
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        last = 1 / held(1 + odd * d)
+        after = held(1 + odd / c)
+        return F.struct(after.alias("c"), last.alias("d"), (h * last * after).alias("h"))
+
+    return F.aggregate(F.sequence(F.lit(1), terms), zero, step, lambda s: s["h"])
 
 
 def spread(bin_means: DataFrame, by: Sequence[str] = (), mean: str = "mean") -> DataFrame:

@@ -152,3 +152,35 @@ def test_registered_robust_curve_is_whole(spark, folder, monkeypatch):
     rows = queries.QUERIES["lowess_robust"](spark, folder).collect()
     assert calls[0]["rounds"] == 3 and calls[0].get("points", 50) == 50
     assert len(rows) == 50 and all(r.fit is not None for r in rows)
+
+
+def test_p_values_equal_the_integral(spark):
+    def integral(low, high, power, reference):
+        a = np.linspace(low, high, 100_001)
+        w = np.ones(len(a))
+        w[1:-1:2], w[2:-1:2] = 4, 2
+        heights = np.exp(power * (np.log(np.maximum(np.cos(a), 1e-300)) - reference))
+        return (w * heights).sum() * (high - low) / 300_000
+
+    rows = [(n, t) for n in (3, 4, 7, 40, 60_000, 10**8) for t in (0.0, 0.01, -1.5, 2.0, 6.0)]
+    odd = [(2, 1.0), (10, None)]
+    found = stats.with_p_value(spark.createDataFrame(rows + odd, "rows long, t double")).collect()
+    for row in found:
+        if (row["rows"], row["t"]) in odd:
+            assert row["p"] is None
+            continue
+        v = row["rows"] - 2
+        start, reach = np.arctan(abs(row["t"]) / np.sqrt(v)), 60 / np.sqrt(v)
+        peak = np.log(np.cos(start))
+        tail = integral(start, min(np.pi / 2, start + reach), v - 1, peak)
+        whole = integral(0, min(np.pi / 2, reach), v - 1, 0)
+        assert row["p"] == pytest.approx(np.exp((v - 1) * peak) * tail / whole, rel=1e-7)
+
+
+def test_codes_over_many_partitions(spark):
+    words = [f"w{i * 7919 % 1000:03d}" for i in range(1000)] + [None] * 5
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(7)
+    codes = ranks.value_codes(df, "w", "code")
+    assert {r["w"]: r["code"] for r in codes.collect()} == {f"w{i:03d}": i for i in range(1000)}
+    assert "SinglePartition" not in codes._jdf.queryExecution().executedPlan().toString()
+    assert ranks.value_codes(df.where("w is null"), "w", "code").count() == 0

@@ -470,6 +470,20 @@ def screening(features: list[str]) -> dict[str, str]:
     }
 
 
+def p_of(t: str) -> str:
+    """Two-sided tail of a t statistic over ``n`` rows: ``cos(a)^(v-1)`` by Simpson's rule,
+    in shares of its height where it starts."""
+    def part(low: str, top: str) -> str:
+        at = f"({low}+k*(({top})-({low}))/20000)"
+        return (f"(({top})-({low}))*(list_sum(list_transform(range(20001), lambda k: "
+                f"case when k in (0, 20000) then 1 when k%2=1 then 4 else 2 end"
+                f"*exp((n-3)*(ln(greatest(cos({at}), 1e-300))-ln(cos({low})))))))")
+
+    start, reach = f"atan(abs({t})/sqrt(n-2))", "60/sqrt(n-2)"
+    tail = part(start, f"least(pi()/2, {start}+{reach})")
+    return (f"exp((n-3)*ln(cos({start})))*({tail})/(" + part("0.0", f"least(pi()/2, {reach})") + ")")
+
+
 def lowess_tables(x: str, frac: float, points: int) -> dict[str, str]:
     grid = ", ".join(str(i / (points - 1)) for i in range(points))
     return {
@@ -661,10 +675,10 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
     out["corr_table"] = sql(corr_rows(correlated, "vol"))
     t_of = "r*sqrt((n-2)/(1-r*r))"
     out["pearson_test"] = sql(
-        f"select {r('r', 'r')}, n as rows, {r(t_of, 't', 4)} from (select "
+        f"select {r('r', 'r')}, n as rows, {r(t_of, 't', 4)}, {r(p_of(t_of), 'p', 9)} from (select "
         f"{std_corr('customer_zip_code_prefix', Y)} as r, count(*) as n from feat)")
     out["spearman"] = sql(
-        f"select {r('r', 'r')}, n as rows, {r(t_of, 't', 4)} from (select corr(a, b) as r, "
+        f"select {r('r', 'r')}, n as rows, {r(t_of, 't', 4)}, {r(p_of(t_of), 'p', 9)} from (select corr(a, b) as r, "
         "count(*) as n from (select rank() over (order by x)+(count(*) over (partition by x)-1)/2.0"
         " as a, rank() over (order by y)+(count(*) over (partition by y)-1)/2.0 as b from "
         f"(select real_distance_km as x, {Y} as y from feat)))")

@@ -482,16 +482,16 @@ def _(t):
         name: F.col(column) for name, column in explore.CORRELATED.items()}, Y)
 
 
-@query("pearson_test")
+@query("pearson_test", 9)
 def _(t):
     return stats.pearson_test(t.base, "customer_zip_code_prefix", Y).select(
-        "r", "rows", F.round("t", 4).alias("t"))
+        F.round("r", 6).alias("r"), "rows", F.round("t", 4).alias("t"), "p")
 
 
-@query("spearman")
+@query("spearman", 9)
 def _(t):
     return ranks.spearman(t.base, "real_distance_km", Y).select(
-        "r", "rows", F.round("t", 4).alias("t"))
+        F.round("r", 6).alias("r"), "rows", F.round("t", 4).alias("t"), "p")
 
 
 @query("screening_report")
