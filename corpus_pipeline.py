@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from freightlens.llm import language, mixing, neardup, packing, substrings
 from freightlens.llm.queries import tokenizer_path
-from freightlens.llm.words import row_key
 from freightlens.session import ensure_checkpoint_dir, ship_package
 
 
@@ -21,7 +20,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose language is recognised. The labels of one fifth of the ids
     are not learned from."""
     model = language.fit(docs.where(~language.held_out("doc_id", 5, 0)))
-    return language.identify(docs, model).where("not rejected").select(*docs.columns)
+    # Columns of documents may have the names of the operator's own.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    named = docs.toDF(*names).withColumnRenamed(names[docs.columns.index("text")], "text")
+    kept = language.identify(named, model).where("not rejected")
+    return kept.select(*named.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 words and more that an earlier document has;
     texts that lose nothing stay as they are, line ends included."""
-    # Rows may share an id, so a cut text comes back to the row that it was cut from.
-    keyed = docs.withColumn("row_key", row_key())
-    cut = substrings.remove_repeats(keyed, key="row_key").where("n_removed > 0").select(
-        "row_key", F.col("text").alias("cut_text"))
-    joined = keyed.join(cut.dropDuplicates(["row_key"]), "row_key", "left")
-    return joined.withColumn("text", F.coalesce("cut_text", "text")).withColumn(
+    return substrings.cut_repeats(docs).withColumn(
         "n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -64,13 +62,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written to the
-    shared folder as Parquet and read again."""
+    shared folder as Parquet and read again. A stage's folder goes when the next one
+    is written; the one that the result reads stays."""
     ship_package(spark)
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _remove(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return STAGES[-1][1](spark, docs, sf_dir)
