@@ -810,6 +810,12 @@ def build(states: list[str], regions: list[str], columns: dict[str, list[str]],
     out["degree_centrality"] = sql(
         f"select node, degree, {rs(6, 'centrality')} from degrees", DEGREE)
     out["pagerank"] = sql(f"select node, {rs(6, 'rank')} from pr20", pagerank_tables(20))
+    place = "cast(row_number() over (order by round({0}, 9) desc, node) as int)"
+    out["top_nodes"] = sql(" union all ".join(
+        f"select * from (select '{name}' as measure, {place.format(value)} as place, node, "
+        f"{r(value, 'value')} from {table}) where place <= 10"
+        for name, value, table in (("degree", "centrality", "degrees"), ("pagerank", "rank", "pr20"))),
+        {**DEGREE, **pagerank_tables(20)})
     out["corridor_sizes"] = sql(
         f"select src, dst, weight, {r('weight/4000', 'width')}, {r('centrality*8000', 'size')}, "
         f"{r('rank*10000', 'rank_size')} from (select * from edges "

@@ -615,6 +615,21 @@ def _(t):
     return graph.pagerank(edges, tolerance=0.0, rounds=20)
 
 
+@query("top_nodes")
+def _(t):
+    edges, _ = stored(_edges(t))
+    return graph.top_nodes({
+        "degree": (graph.degree_centrality(edges), "centrality"),
+        "pagerank": (graph.pagerank(edges, tolerance=0.0, rounds=20), "rank")})
+
+
+@query("top_betweenness")
+def _(t):
+    edges, _ = stored(_edges(t))
+    nodes = graph.betweenness(edges)
+    return graph.top_nodes({"betweenness": (nodes, "betweenness")})
+
+
 @query("betweenness")
 def _(t):
     edges, _ = stored(_edges(t))
