@@ -16,20 +16,25 @@ from freightlens.llm.queries import tokenizer_path
 from freightlens.session import ensure_checkpoint_dir, ship_package
 
 
+def _named(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with plain names for all columns but the needed ones, since columns of
+    documents may have the names that an operator uses itself."""
+    return docs.toDF(*[c if c in needed else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. The labels of one fifth of the ids
     are not learned from."""
     model = language.fit(docs.where(~language.held_out("doc_id", 5, 0)))
-    # Columns of documents may have the names of the operator's own.
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    named = docs.toDF(*names).withColumnRenamed(names[docs.columns.index("text")], "text")
+    named = _named(docs, "text")
     kept = language.identify(named, model).where("not rejected")
     return kept.select(*named.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, with the smallest id."""
-    return neardup.one_of_each(docs)
+    named = _named(docs, "doc_id", "text")
+    return neardup.one_of_each(named).select(*named.columns).toDF(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
