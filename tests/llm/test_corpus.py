@@ -447,3 +447,18 @@ def test_language_sample_takes_different_texts(spark):
     model = language.fit(rows, sample_rows=100)
     got = language.identify(rows, model)
     assert got.where("rejected or lang_pred <> lang").count() == 0
+
+
+def test_stages_keep_columns_of_any_name(docs):
+    import corpus_pipeline
+
+    extra = ["score", "rejected", "lang_pred", "row_key", "cut_text", "__own", "own_block"]
+    clash = docs.select("doc_id", "text", "lang", "source", "n_chars", *[
+        F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c)
+        for c in extra]).cache()
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        got = stage(docs.sparkSession, clash, "")
+        assert got.columns == clash.columns
+        rows = got.collect()
+        assert rows and all(
+            r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for r in rows for c in extra)
