@@ -14,7 +14,7 @@ class Reached(Exception):
 
 
 @pytest.mark.parametrize("query, operator", [
-    ("boosted_rmse", "fit_boosted_trees"), ("cv_scores", "fit_boosted_trees"),
+    ("boosted_rmse", "fit_boosted_trees"), ("cv_scores", "cross_validate_trees"),
     ("model_roundtrip", "fit_boosted_trees"), ("forest_residuals", "forest_residuals")])
 def test_models_leave_out_no_input(spark, folder, monkeypatch, query, operator):
     signature = inspect.signature(getattr(trees, operator))
@@ -30,10 +30,15 @@ def test_models_leave_out_no_input(spark, folder, monkeypatch, query, operator):
     with pytest.raises(Reached):
         queries.QUERIES[query](spark, folder)
     got, usual = calls[0], signature.parameters
-    sizes = {"numeric", "categories", "depth", "inputs", "trees"} & set(usual)
+    sizes = {"numeric", "categories", "depth", "inputs", "trees", "folds"} & set(usual)
     assert {n: got[n] for n in sizes} == {n: usual[n].default for n in sizes}
-    if operator == "fit_boosted_trees":
-        assert set(NUMERIC_INPUTS + CATEGORY_INPUTS) <= set(got["train"].columns)
+    if operator == "cross_validate_trees":  # the rest are options of the booster
+        assert got["options"]["numeric"] == NUMERIC_INPUTS
+        assert got["options"]["categories"] == CATEGORY_INPUTS
+        assert set(got["options"]) <= {"numeric", "categories", "rounds"}
+    if operator != "forest_residuals":
+        rows = got["train"] if "train" in got else got["df"]
+        assert set(NUMERIC_INPUTS + CATEGORY_INPUTS) <= set(rows.columns)
 
 
 def test_all_numbers_are_scaled(spark, folder):

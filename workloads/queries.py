@@ -22,7 +22,7 @@ from freightlens.models.components import principal_components
 from freightlens.models.inputs import CATEGORY_INPUTS, NUMERIC_INPUTS
 from freightlens.models.preprocess import fit_preprocessing, impute_and_scale
 from freightlens.models.trees import (
-    cross_validate, fit_boosted_trees, forest_residuals, score_summary,
+    cross_validate_trees, fit_boosted_trees, forest_residuals, validation_gap,
 )
 from freightlens.operators import densities, graph, ranks, sampling, smooth, stats, summaries
 from freightlens.operators.binning import cut_width
@@ -794,8 +794,8 @@ def _training(t):
     return model, model.transform(train, base=False), model.transform(test, base=False)
 
 
-# All inputs and the operators' own depth; the rounds, and the folds of the
-# cross-validation, are what the registered queries bound.
+# All inputs, the operators' own depth and folds; the rounds are what the registered
+# queries bound.
 BOOSTED = {"numeric": NUMERIC_INPUTS, "categories": CATEGORY_INPUTS, "rounds": 5}
 MODEL_COLUMNS = [*NUMERIC_INPUTS, *CATEGORY_INPUTS, Y]
 
@@ -810,23 +810,32 @@ def _(t):
 
 @query("cv_scores", 4)
 def _(t):
-    _, train, _ = _training(t)
-    folds, _ = stored(train.select(
-        *MODEL_COLUMNS, sampling.fold_of(ROW[:2], 3).alias("fold")))
-    scores = cross_validate(
-        folds, 3, "fold", lambda df: fit_boosted_trees(df, **{**BOOSTED, "rounds": 3}))
-    return score_summary(scores)
+    """Ten folds and the model of all training rows, grown together; the gap is to the
+    test rows."""
+    _, train, test = _training(t)
+    train, _ = stored(train.select(*MODEL_COLUMNS, sampling.fold_of(ROW[:2], 10).alias("fold")))
+    scores, model = cross_validate_trees(train, "fold", whole=True, **{**BOOSTED, "rounds": 3})
+    return validation_gap(scores, stats.rmse(model.transform(test), Y, "prediction"))
 
 
 @query("model_roundtrip", 4)
 def _(t):
-    encoder, train, _ = _training(t)
+    """Figures of the test rows from the loaded artifact, and how far its predictions
+    are from those of the model in memory."""
+    encoder, train, test = _training(t)
     train, _ = stored(train.select(*MODEL_COLUMNS))
     model = fit_boosted_trees(train, **{**BOOSTED, "rounds": 3})
+    test, _ = stored(model.transform(test).select(*ROW, Y, "prediction"))
+    error = stats.rmse(test, Y, "prediction").first()["rmse"]
     ensure_checkpoint_dir(t.spark)
-    folder = (f"{t.spark.sparkContext.getCheckpointDir()}/"
-              f"{artifact_name(uuid4().hex, 0.0)}")
-    Artifact(encoder, model, BOOSTED["numeric"], BOOSTED["categories"]).save(folder)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/{artifact_name(uuid4().hex, error or 0.0)}"
+    Artifact(encoder, model, BOOSTED["numeric"], BOOSTED["categories"],
+             {"test_rmse": error, "rounds": 3}).save(folder)
     loaded = Artifact.load(t.spark, folder, FIXTURE_DOMAIN)
-    scored = loaded.score(t.star)
-    return stats.rmse(scored, Y, "prediction")
+    scored = loaded.score(t.star).select(*ROW, F.col("prediction").alias("again"))
+    both = test.join(scored, ROW)
+    return both.agg(
+        F.sqrt(F.avg(F.pow(F.col(Y) - F.col("again"), 2))).alias("rmse"),
+        F.max(F.abs(F.col("prediction") - F.col("again"))).alias("largest_difference"),
+        F.lit(loaded.figures["test_rmse"]).cast("double").alias("stored_rmse"),
+        F.lit(len(loaded.model.trees)).alias("trees"), F.count("*").alias("rows"))
