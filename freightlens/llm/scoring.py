@@ -3,32 +3,38 @@
 States are the contexts seen in training (the empty one included). A state has an
 arc, with a log-probability, for every token that followed it, and a failure arc to
 the next shorter context, with the weight of backing off. Smoothing is Dirichlet's:
-``p(w|h) = (c(hw) + m * p(w|h')) / (c(h) + m)``, over add-one single tokens.
-
-Counts grow with the corpus, so no task ever holds the whole automaton. Documents
-are dealt into batches of bounded size. A batch sends one row of hashed n-grams per
-bucket of the hash space, with its own counts of training; a bucket adds them up and
-answers every batch with the totals of just the n-grams it asked for. From the
-answers the batch builds the part of the automaton that its texts can reach.
+``p(w|h) = (c(hw) + m * p(w|h')) / (c(h) + m)``, over add-one single tokens; ``m`` is
+the strength under which all training tokens, each left out of the counts in its
+turn, are likeliest.
+
+Counts grow with the corpus, so no task ever holds the whole automaton. The rows of
+a partition are gathered into batches of bounded size, stored as one compressed row
+each. A batch sends one row of hashed n-grams per bucket of the hash space, with its
+own counts of training; a bucket adds them up and answers every batch with the
+totals of just the n-grams it asked for. From the answers the batch builds the part
+of the automaton that its texts can reach, and walks through them once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freightlens.llm.words import BASES, WordHashes, mixed, narrow, split_words, utf8_values, widened
+from freightlens.llm.words import (
+    BASES, WordHashes, chunks, mixed, narrow, split_words, utf8_values, widened,
+)
 from freightlens.session import reliable_checkpoint
 
 BATCH_OCTETS = 5_000_000
 BUCKET_OCTETS = 8_000_000
+STRENGTHS = (3.0, 10.0, 30.0, 100.0, 300.0, 1000.0)
 SINGLE, LONGER = 1, 2
 # Hashes of the two marks; a word has no white space, so no word is either.
 _START, _END = b" start", b" end"
@@ -81,19 +87,38 @@ def _bucketed(values: np.ndarray, buckets: int):
         yield int(bucket[start]), order[start:end]
 
 
-def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstd frames, for the two times they are moved."""
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = [press.compress(t) for t in utf8_values(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("doc_id", "held_out", "batch")),
-             pa.array(texts, pa.binary())], names=["doc_id", "held_out", "batch", "text"])
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size, a batch as one compressed row. Texts that are
+    pressed together take less room than each on its own."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    number = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=options) as writer:
+            writer.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()])],
+            names=["batch", "rows"])
+
+    octets = 0
+    for piece in chunks(batches, "text", BATCH_OCTETS // 8):
+        held.append(piece)
+        octets += sum(len(t) for t in utf8_values(piece.column("text"))) + 64 * piece.num_rows
+        if octets >= BATCH_OCTETS:
+            yield flush()
+            number, octets, held = number + 1, 0, []
+    if held:
+        yield flush()
+
 
+def _rows(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
-def _texts(group: pa.Table) -> list[bytes]:
-    press = zstandard.ZstdDecompressor()
-    return [press.decompress(t) for t in group.column("text").to_pylist()]
+
+def _texts(rows: pa.Table) -> list[bytes]:
+    return utf8_values(rows.column("text"))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -118,20 +143,27 @@ def _kinds(grams: Grams):
 
 
 def _ask(order: int, buckets: int):
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        grams = Grams.of(_texts(group), order)
-        trained = ~np.array(group.column("held_out").to_pylist(), bool)[grams.owner]
+    def asked(batch: int, rows: pa.Table) -> pa.RecordBatch:
+        grams = Grams.of(_texts(rows), order)
+        trained = ~np.array(rows.column("held_out").to_pylist(), bool)[grams.owner]
         counts = [np.bincount(n[trained & (n >= 0)], minlength=len(h))
                   for n, h in zip(grams.ids, grams.hashes)]
-        rows = []
+        out = []
         for kind, parts in _kinds(grams):
             values = np.concatenate([grams.hashes[k][i] for k, i in parts])
             own = np.concatenate([counts[k][i] for k, i in parts])
             for bucket, at in _bucketed(values, buckets):
                 data, width = narrow(own[at])
-                rows.append((bucket, key[0].as_py(), kind, _planes(values[at]), data, width))
-        columns = list(zip(*rows)) or [()] * 6
-        return pa.table({n: pa.array(c, t) for (n, t), c in zip(_ASKED, columns)})
+                out.append((bucket, batch, kind, _planes(values[at]), data, width))
+        columns = list(zip(*out)) or [()] * 6
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for (_, t), c in zip(_ASKED, columns)], names=[n for n, _ in _ASKED])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield asked(batch.column("batch")[row].as_py(),
+                            _rows(batch.column("rows")[row].as_py()))
 
     return run
 
@@ -171,70 +203,114 @@ def _answer(group: pa.Table) -> pa.Table:
 class Automaton:
     """The part of the automaton that a batch can reach.
 
-    ``arc[k]`` has the log-probability of each n-gram of order ``k + 1`` and
-    ``seen[k]`` whether training has it (else the state has no such arc);
-    ``failure[k]`` is the weight of the failure arc of the state that the n-gram is,
-    0 where it is no state, for then the walk stands in a shorter one already.
+    N-grams have one number over all orders, their place in ``counts``. State 0 is the
+    empty context and state ``1 + n`` the n-gram ``n``. ``arcs`` finds the n-gram that
+    a state and a token make, if training has it; from the empty state a token's arc is
+    its own number. ``target`` is the state that an n-gram leads to, ``back`` where the
+    failure arc of a state ends. ``context`` and ``suffix`` are the n-grams without
+    their last and first token, for orders above one.
     """
 
-    arc: list[np.ndarray]
-    seen: list[np.ndarray]
-    failure: list[np.ndarray]
+    sizes: list[int]
+    counts: np.ndarray
+    context: np.ndarray
+    suffix: np.ndarray
+    arcs: dict[int, int]
+    target: list[int]
+    back: list[int]
+    base: np.ndarray
 
     @classmethod
-    def of(cls, grams: Grams, counts: list[np.ndarray], tokens: int, types: int,
-           strength: float) -> Automaton:
-        total = tokens + types + 1
-        arc = [np.log10((counts[0] + 1) / total)]
-        seen = [np.ones(len(counts[0]), bool)]
-        failure = [np.where(c > 0, np.log10(strength / (c + strength)), 0.0) for c in counts]
+    def of(cls, grams: Grams, counts: list[np.ndarray], tokens: int, types: int) -> Automaton:
+        sizes = [len(c) for c in counts]
+        offsets = np.cumsum([0, *sizes])
+        flat = np.concatenate(counts)
+        context, suffix = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        arcs: dict[int, int] = {}
+        target = np.where(flat > 0, np.arange(len(flat)) + 1, 0)
+        back = np.zeros(len(flat) + 1, np.int64)
         for k in range(1, len(counts)):
             # An n-gram's context ends one place before it, its suffix at the same place.
-            at = np.zeros(len(counts[k]), np.int64)
+            at = np.zeros(sizes[k], np.int64)
             here = np.flatnonzero(grams.ids[k] >= 0)
             at[grams.ids[k][here]] = here
-            context = counts[k - 1][grams.ids[k - 1][at - 1]] if len(at) else at
-            below = grams.ids[k - 1][at]
-            shorter = 10.0 ** arc[k - 1][below]
-            if k > 1:  # the suffix may itself be reached by a failure arc only
-                shorter = 10.0 ** cls._weights(arc, seen, failure, grams, k - 1, at)
-            arc.append(np.log10((counts[k] + strength * shorter) / (context + strength)))
-            seen.append(counts[k] > 0)
-        return cls(arc, seen, failure)
-
-    @staticmethod
-    def _weights(arc, seen, failure, grams: Grams, top: int, places: np.ndarray) -> np.ndarray:
-        """Log-probability of the token at each place, from the state before it of
-        order ``top`` at most: failure arcs are taken while no arc fits."""
-        score, open_ = np.zeros(len(places)), np.ones(len(places), bool)
-        for k in range(top, -1, -1):
-            ids = grams.ids[k][places]
-            fits = open_ & (ids >= 0)
-            fits[fits] = seen[k][ids[fits]]
-            score[fits] += arc[k][ids[fits]]
-            open_ &= ~fits
-            if k:
-                state = grams.ids[k - 1][places - 1]
-                fails = open_ & (state >= 0)
-                score[fails] += failure[k - 1][state[fails]]
-        return score
-
-    def walk(self, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-        """The places that emit a token, and the weight each adds on the way from
-        left to right. The state before a place is the n-gram that ends there, so
-        all places are advanced together."""
-        places = np.flatnonzero(~grams.is_start)
-        return places, self._weights(
-            self.arc, self.seen, self.failure, grams, len(self.arc) - 1, places)
-
-
-def _score(order: int, tokens: int, types: int, strength: float):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        n = docs.num_rows
-        grams = Grams.of(_texts(docs), order)
+            own = slice(offsets[k], offsets[k + 1])
+            context[own] = offsets[k - 1] + grams.ids[k - 1][at - 1]
+            suffix[own] = offsets[k - 1] + grams.ids[k - 1][at]
+            back[1 + offsets[k]:1 + offsets[k + 1]] = 1 + suffix[own]
+            seen = np.flatnonzero(counts[k] > 0)
+            keys = (1 + context[own][seen]) * sizes[0] + grams.ids[0][at[seen]]
+            arcs.update(zip(keys.tolist(), (offsets[k] + seen).tolist()))
+        # The longest n-grams are no states: they lead to their suffix.
+        last = slice(offsets[-2], offsets[-1])
+        target[last] = 1 + suffix[last] if len(counts) > 1 else 0
+        return cls(sizes, flat, context, suffix, arcs, target.tolist(), back.tolist(),
+                   (flat[:sizes[0]] + 1) / (tokens + types + 1))
+
+    def walk(self, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One traversal from left to right that carries the state: the n-gram of the
+        arc taken at each token, and token and state of every failure arc on the way."""
+        taken, failed, states = [], [], []
+        arcs, target, back, width, state = self.arcs, self.target, self.back, self.sizes[0], 0
+        for token, start in zip(grams.ids[0].tolist(), grams.is_start.tolist()):
+            if start:
+                state = target[token]
+                continue
+            arc = token
+            while state:
+                found = arcs.get(state * width + token)
+                if found is not None:
+                    arc = found
+                    break
+                failed.append(len(taken))
+                states.append(state)
+                state = back[state]
+            taken.append(arc)
+            state = target[arc]
+        return tuple(np.array(x, np.int64) for x in (taken, failed, states))
+
+    def scores(self, path: tuple[np.ndarray, np.ndarray, np.ndarray], strength: float) -> np.ndarray:
+        """Log10-probability of each token of a walk: its arc and the failure arcs."""
+        taken, failed, states = path
+        p = np.concatenate([self.base, np.zeros(len(self.counts) - len(self.base))])
+        at = self.sizes[0]
+        for size in self.sizes[1:]:
+            own = slice(at, at + size)
+            p[own] = (self.counts[own] + strength * p[self.suffix[own]]) / (
+                self.counts[self.context[own]] + strength)
+            at += size
+        failing = np.log10(strength / (self.counts[states - 1] + strength))
+        return np.log10(p[taken]) + np.bincount(failed, weights=failing, minlength=len(taken))
+
+
+def left_out(grams: Grams, counts: list[np.ndarray], places: np.ndarray, tokens: int, types: int,
+             strength: float) -> np.ndarray:
+    """Log10-probability of the token at each place of training texts, under counts
+    that leave this one occurrence out."""
+    p = counts[0][grams.ids[0][places]] / (tokens + types)
+    for k in range(1, len(counts)):
+        ids = grams.ids[k][places]
+        long = ids >= 0
+        own = counts[k][ids[long]] - 1
+        context = counts[k - 1][grams.ids[k - 1][places[long] - 1]] - 1
+        p[long] = (own + strength * p[long]) / (context + strength)
+    return np.log10(p)
+
+
+_SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+           "base_score double, scores array<double>, left_out array<double>")
+
+
+def _score(order: int, tokens: int, types: int, strengths: Sequence[float]):
+    def run(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        if not batch.num_rows:
+            return pa.table({n: [] for n in _SCORED_NAMES})
+        rows = _rows(batch.column("rows")[0].as_py())
+        n = rows.num_rows
+        grams = Grams.of(_texts(rows), order)
         replies = {(r["bucket"], r["kind"]): widened(r["counts"], r["width"])
                    for r in answers.select(["bucket", "kind", "counts", "width"]).to_pylist()}
-        buckets = answers.column("buckets")[0].as_py() if n else 1
+        buckets = answers.column("buckets")[0].as_py()
         counts = [np.zeros(len(h), np.int64) for h in grams.hashes]
         for kind, parts in _kinds(grams):
             values = np.concatenate([grams.hashes[k][i] for k, i in parts])
@@ -243,55 +319,72 @@ def _score(order: int, tokens: int, types: int, strength: float):
                 found[at] = replies[bucket, kind]
             for k, i in parts:
                 counts[k][i], found = found[:len(i)], found[len(i):]
-        total = tokens + types + 1
-        places, weights = Automaton.of(grams, counts, tokens, types, strength).walk(grams)
+        automaton = Automaton.of(grams, counts, tokens, types)
+        path = automaton.walk(grams)
+        places = np.flatnonzero(~grams.is_start)
         single = counts[0][grams.ids[0][places]]
-        plain = np.log10((single + 1) / total)
         ends = np.searchsorted(grams.owner[places], np.arange(1, n))
-        columns = {
-            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
-            "n_tokens": np.bincount(grams.owner[places], minlength=n).astype(np.int64),
-            "n_known": np.bincount(grams.owner[places][single > 0], minlength=n).astype(np.int64),
-            "train_tokens": np.full(n, tokens, np.int64),
-            "base_score": [math.fsum(x) for x in np.split(plain, ends)][:n],
-            "score": [math.fsum(x) for x in np.split(weights, ends)][:n],
-        }
-        return pa.table(columns)
+
+        def sums(values: np.ndarray, ends: np.ndarray) -> list[float]:
+            return [math.fsum(x) for x in np.split(values, ends)][:n]
+
+        learned = ~np.array(rows.column("held_out").to_pylist(), bool)
+        training = places[learned[grams.owner[places]]]
+        cuts = np.searchsorted(grams.owner[training], np.arange(1, n))
+        spared = [sums(left_out(grams, counts, training, tokens, types, m), cuts)
+                  for m in strengths] if len(strengths) > 1 else [[0.0] * n]
+        columns = (
+            rows.column("doc_id"), rows.column("held_out"),
+            np.bincount(grams.owner[places], minlength=n).astype(np.int64),
+            np.bincount(grams.owner[places][single > 0], minlength=n).astype(np.int64),
+            np.full(n, tokens, np.int64),
+            sums(np.log10(automaton.base[grams.ids[0][places]]), ends),
+            list(zip(*[sums(automaton.scores(path, m), ends) for m in strengths])),
+            list(zip(*spared)))
+        return pa.table(dict(zip(_SCORED_NAMES, columns)))
 
     return run
 
 
+_SCORED_NAMES = [c.split()[0] for c in _SCORED.split(", ")]
+
+
 def score_documents(docs: DataFrame, held_out: Column, order: int = 2,
-                    strength: float = 1000.0) -> DataFrame:
+                    strength: float | Sequence[float] = STRENGTHS) -> DataFrame:
     """Log10 probabilities of whole texts under an n-gram model of the rows for
     which ``held_out`` is not true.
 
     Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score``: tokens are the words with A-Z lower-cased and one end per text;
     ``base_score`` is the add-one model of single tokens, ``score`` the automaton.
+    Of several strengths the one that suits the training rows best is taken.
 
     Null and empty texts are the end alone. Repeated rows count as often as they
     are there. A null ``held_out`` counts as false. Without rows to learn from,
     all tokens are unknown. Other columns are ignored; an empty table gives an
-    empty result.
+    empty result. A text longer than a batch is a batch of its own.
     """
+    strengths = list(strength) if isinstance(strength, Sequence) else [strength]
     octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = max(1, -(-octets // BATCH_OCTETS))
     buckets = max(1, -(-octets // BUCKET_OCTETS))
-    dealt = docs.select(
+    gathered = reliable_checkpoint(docs.select(
         "doc_id", F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
-    ).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))).mapInArrow(
-        _pressed, "doc_id long, held_out boolean, batch long, text binary")
-    asked = dealt.select("batch", "text", "held_out").groupBy(
-        "batch").applyInArrow(_ask(order, buckets), _ASKED_SQL)
+    ).mapInArrow(_gathered, "batch long, rows binary"))
+    asked = gathered.mapInArrow(_ask(order, buckets), _ASKED_SQL)
     answers = reliable_checkpoint(asked.groupBy("bucket").applyInArrow(
         _answer, "batch long, bucket long, kind int, counts binary, width int, types long, "
         "tokens long"))
     types, tokens = answers.agg(F.sum("types"), F.sum("tokens")).first()
-    return dealt.groupBy("batch").cogroup(
+    scored = gathered.groupBy("batch").cogroup(
         answers.withColumn("buckets", F.lit(buckets)).groupBy("batch")
-    ).applyInArrow(
-        _score(order, tokens or 0, types or 0, strength),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-        "base_score double, score double")
+    ).applyInArrow(_score(order, tokens or 0, types or 0, strengths), _SCORED)
+    best = 0
+    if len(strengths) > 1:
+        scored = reliable_checkpoint(scored)
+        sums = scored.agg(*[F.sum(F.get("left_out", F.lit(i))).alias(f"m{i}")
+                            for i in range(len(strengths))]).first()
+        best = max(range(len(strengths)), key=lambda i: sums[i] if sums[i] is not None else 0.0)
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score",
+        F.get("scores", F.lit(best)).alias("score"))

@@ -280,6 +280,32 @@ def test_scoring(docs, none, order):
     assert scoring.score_documents(none, held).count() == 0
 
 
+def test_scoring_takes_the_strength_that_suits_the_corpus(spark, none):
+    """The sum over training tokens, each left out of the counts, by plain loops."""
+    random = np.random.default_rng(7)
+    texts = [" ".join(f"t{x}" for x in np.minimum(random.geometric(0.2, 60), 12)) for _ in range(30)]
+    counts = Counter()
+    marked = [["<s>", *t.split(), "</s>"] for t in texts]
+    for w in marked:
+        counts.update((x,) for x in w)
+        counts.update(zip(w, w[1:]))
+    single = {g: c for g, c in counts.items() if len(g) == 1 and g != ("<s>",)}
+    total, kinds = sum(single.values()), len(single)
+    strengths = (1.0, 20.0, 400.0, 5000.0)
+
+    def spared(m):
+        return sum(math.log10((counts[a, b] - 1 + m * counts[b,] / (total + kinds))
+                              / (counts[a,] - 1 + m)) for w in marked for a, b in zip(w, w[1:]))
+
+    best = max(strengths, key=spared)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, wanted = (
+        {r.doc_id: r.score for r in scoring.score_documents(docs, F.lit(False), 2, m).collect()}
+        for m in (strengths, best))
+    assert found == wanted and best != strengths[0]
+    assert scoring.score_documents(none, F.lit(False)).count() == 0
+
+
 def test_near_duplicates(docs, none):
     got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 3), (4, 1), (5, 5), (6, 6), (7, 7), (8, 8),
