@@ -1,14 +1,15 @@
 """Quality rules combined by weak supervision, in DataFrame expressions only.
 
-Every rule votes good (1) or bad (-1) or abstains (0). Votes are counted by pattern;
-expectation-maximisation over the patterns estimates how often each rule votes right
-on good and on bad documents, and a document's posterior probability of being good
-decides. The patterns number at most ``3 ** rules`` whatever the corpus.
+Every rule votes good (1) or bad (-1) or abstains (0), each on a fact of its own. Votes
+are counted by pattern; expectation-maximisation over the patterns estimates the share
+of good documents and how often each rule votes right on good and on bad ones, and a
+document's posterior probability of being good decides. The patterns number at most ``3 ** rules`` whatever the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,14 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
 ROUNDS = 25
-PRIOR = 0.9
-# Pseudo-votes that hold an accuracy near its start while evidence is thin.
+START_PRIOR = 0.9
+# Good documents pass most rules; a bad one fails a few of them.
+START_GOOD, START_BAD = 0.9, 0.4
+# Pseudo-votes that hold an accuracy, and pseudo-documents that hold the prior, near
+# their start while evidence is thin.
 STRENGTH = 20.0
-START_ACCURACY = 0.75
+# No rule is trusted further than this, so that none decides alone against the others.
+MOST_GOOD, MOST_BAD = 0.95, 0.75
 
 
 def occurrences(column: str, characters: str) -> Column:
@@ -84,56 +89,71 @@ def default_rules() -> dict[str, Column]:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
     return {
-        "length": vote(n < 50, F.lit(False)),
+        "length": vote(n < 20, n >= 50),
         "word_length": vote(
-            (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n),
-            F.col("word_chars").between(3 * n, 10 * n)),
+            (F.col("word_chars") < 3 * n) | (F.col("word_chars") > 10 * n),
+            F.col("word_chars").between(4 * n, 8 * n)),
         "symbols": vote(10 * F.col("n_symbols") > n, 50 * F.col("n_symbols") <= n),
-        "symbol_chars": vote(20 * F.col("n_symbols") > F.col("word_chars"),
-                             200 * F.col("n_symbols") <= F.col("word_chars")),
-        "lines": vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), F.lit(False)),
-        "repeats": vote(100 * F.col("n_repeat_words") > 40 * n, F.lit(False)),
+        "lines": vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+                      10 * F.col("n_dup_lines") <= F.col("n_lines")),
+        "repeats": vote(100 * F.col("n_repeat_words") > 40 * n,
+                        100 * F.col("n_repeat_words") <= 10 * n),
         "sentences": vote(
             (F.col("n_ends") == 0) & (n >= 20), 100 * F.col("n_ends") >= 2 * n),
     }
 
 
-def posterior(votes: Sequence[str], good: Sequence[float], bad: Sequence[float]) -> Column:
-    """Probability of good, given the votes: independent rules that are right so often
-    on good and on bad documents; abstentions say nothing. The factors are one array,
-    so that the expression stays the same while they change."""
-    factors = F.lit([x for a, b in zip(good, bad) for x in (a / (1 - b), (1 - a) / b)])
-    odds = F.lit(PRIOR / (1 - PRIOR))
+@dataclass(frozen=True)
+class Estimate:
+    """The share of good documents, and how often each rule's vote is right on good
+    and on bad documents."""
+
+    prior: float
+    good: list[float]
+    bad: list[float]
+
+
+def posterior(votes: Sequence[str], found: Estimate) -> Column:
+    """Probability of good, given the votes of independent rules; abstentions say
+    nothing. The factors are one array, so that the expression stays the same while
+    they change."""
+    factors = F.lit([found.prior / (1 - found.prior)] + [
+        x for a, b in zip(found.good, found.bad) for x in (a / (1 - b), (1 - a) / b)])
+    odds = F.get(factors, F.lit(0))
     for i, name in enumerate(votes):
-        odds = odds * F.when(F.col(name) > 0, F.get(factors, F.lit(2 * i))).when(
-            F.col(name) < 0, F.get(factors, F.lit(2 * i + 1))).otherwise(1.0)
+        odds = odds * F.when(F.col(name) > 0, F.get(factors, F.lit(2 * i + 1))).when(
+            F.col(name) < 0, F.get(factors, F.lit(2 * i + 2))).otherwise(1.0)
     return odds / (1 + odds)
 
 
-def estimate(patterns: DataFrame, votes: Sequence[str], rounds: int = ROUNDS):
-    """Accuracies on good and on bad documents from counted patterns (``n``).
+def estimate(patterns: DataFrame, votes: Sequence[str], rounds: int = ROUNDS) -> Estimate:
+    """Prior and accuracies from counted patterns (``n``).
 
-    Each round is one aggregation to two sums per rule and vote. The share of good
-    documents stays at ``PRIOR``, and accuracies are held above one half, so that
-    "good" keeps its meaning.
+    Each round is one aggregation to two sums per rule and vote. A rule is held to vote
+    bad more often on bad documents than on good ones, so that "good" keeps its meaning.
     """
-    good = [START_ACCURACY] * len(votes)
-    bad = [START_ACCURACY] * len(votes)
+    rules = range(len(votes))
+    found = Estimate(START_PRIOR, [START_GOOD for _ in rules], [START_BAD for _ in rules])
 
-    def held(yes: float, no: float) -> float:
-        return min(0.999, max(0.501, (yes + STRENGTH * START_ACCURACY) / (yes + no + STRENGTH)))
+    def share(right: float, wrong: float, start: float) -> float:
+        return (right + STRENGTH * start) / (right + wrong + STRENGTH)
 
+    p, n = F.col("p"), F.col("n")
     for _ in range(rounds):
-        weighted = patterns.select(
-            "n", posterior(votes, good, bad).alias("p"),
-            F.posexplode(F.array(*votes)).alias("rule", "vote")).where("vote <> 0")
-        sums = {(r["rule"], r["vote"]): r for r in weighted.groupBy("rule", "vote").agg(
-            F.sum(F.col("p") * F.col("n")).alias("good"),
-            F.sum((1 - F.col("p")) * F.col("n")).alias("bad")).collect()}
-        share = lambda i, vote, of: sums[i, vote][of] if (i, vote) in sums else 0.0
-        good = [held(share(i, 1, "good"), share(i, -1, "good")) for i in range(len(votes))]
-        bad = [held(share(i, -1, "bad"), share(i, 1, "bad")) for i in range(len(votes))]
-    return good, bad
+        row = patterns.select("*", posterior(votes, found).alias("p")).agg(
+            F.sum(p * n).alias("good"), F.sum(n).alias("n"),
+            *[F.sum(F.when(F.col(v) == sign, of * n).otherwise(0.0)).alias(f"{i}{name}{sign}")
+              for i, v in enumerate(votes) for sign in (1, -1)
+              for name, of in (("g", p), ("b", 1 - p))]).first()
+        if not row["n"]:
+            break
+        prior = (row["good"] + STRENGTH * START_PRIOR) / (row["n"] + STRENGTH)
+        good = [min(MOST_GOOD, max(0.5, share(row[f"{i}g1"], row[f"{i}g-1"], START_GOOD)))
+                for i in rules]
+        bad = [min(MOST_BAD, max(1.01 - good[i], share(row[f"{i}b-1"], row[f"{i}b1"], START_BAD)))
+               for i in rules]
+        found = Estimate(min(0.999, max(0.001, prior)), good, bad)
+    return found
 
 
 def judge(docs: DataFrame, rules: dict[str, Column] | None = None,
@@ -151,7 +171,7 @@ def judge(docs: DataFrame, rules: dict[str, Column] | None = None,
     voted = reliable_checkpoint(measured.select(
         "*", *[v.cast("int").alias(n) for n, v in zip(names, rules.values())]))
     patterns = reliable_checkpoint(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))
-    good, bad = estimate(patterns, names)
-    return voted.withColumn("quality", posterior(names, good, bad)).withColumn(
+    found = estimate(patterns, names)
+    return voted.withColumn("quality", posterior(names, found)).withColumn(
         "accepted", F.col("quality") >= threshold)
 

@@ -384,6 +384,37 @@ def test_quality(docs, none):
     assert quality.judge(none).count() == 0
 
 
+def test_estimate_finds_the_accuracies_of_drawn_votes(spark):
+    """Against expectation-maximisation row by row, and against the drawn truth."""
+    random = np.random.default_rng(5)
+    good, bad = [0.95, 0.9, 0.9, 0.8, 0.95], [0.7, 0.6, 0.7, 0.6, 0.5]
+    truth = random.random(20000) < 0.8
+    right = random.random((len(truth), 5)) < np.where(truth[:, None], good, bad)
+    votes = np.where(right == truth[:, None], 1, -1) * (random.random(right.shape) < 0.8)
+    names = [f"v{i}" for i in range(5)]
+    table = spark.createDataFrame(
+        [(*map(int, k), c) for k, c in Counter(map(tuple, votes)).items()],
+        ", ".join(f"{v} int" for v in names) + ", n long")
+    found = quality.estimate(table, names, rounds=30)
+
+    prior, a, b = 0.9, np.full(5, 0.9), np.full(5, 0.4)
+    for _ in range(30):
+        factor = np.where(votes > 0, a / (1 - b), np.where(votes < 0, (1 - a) / b, 1.0))
+        odds = prior / (1 - prior) * factor.prod(axis=1)
+        p = (odds / (1 + odds))[:, None]
+        yes, no = votes > 0, votes < 0
+        a = ((p * yes).sum(0) + 18) / ((p * (yes | no)).sum(0) + 20)
+        b = (((1 - p) * no).sum(0) + 8) / (((1 - p) * (yes | no)).sum(0) + 20)
+        a = np.clip(a, 0.5, 0.95)
+        b = np.minimum(0.75, np.maximum(1.01 - a, b))
+        prior = (p.sum() + 18) / (len(votes) + 20)
+    assert found.prior == pytest.approx(prior, abs=1e-9)
+    assert found.good == pytest.approx(list(a), abs=1e-9)
+    assert found.bad == pytest.approx(list(b), abs=1e-9)
+    assert abs(prior - 0.8) < 0.03
+    assert np.abs(a - good).max() < 0.04 and np.abs(b - bad).max() < 0.06
+
+
 def test_cut_texts_return_to_their_rows(spark):
     import corpus_pipeline
 
