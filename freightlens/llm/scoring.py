@@ -269,32 +269,34 @@ class Automaton:
             state = target[arc]
         return tuple(np.array(x, np.int64) for x in (taken, failed, states))
 
-    def scores(self, path: tuple[np.ndarray, np.ndarray, np.ndarray], strength: float) -> np.ndarray:
-        """Log10-probability of each token of a walk: its arc and the failure arcs."""
-        taken, failed, states = path
-        p = np.concatenate([self.base, np.zeros(len(self.counts) - len(self.base))])
-        at = self.sizes[0]
+    def _smoothed(self, left_out: int, base: np.ndarray, strength: float) -> np.ndarray:
+        """Probability of every n-gram's last token, ``left_out`` occurrences less."""
+        p = np.concatenate([base, np.zeros(len(self.counts) - len(base))])
+        counts, at = np.maximum(self.counts - left_out, 0), self.sizes[0]
         for size in self.sizes[1:]:
             own = slice(at, at + size)
-            p[own] = (self.counts[own] + strength * p[self.suffix[own]]) / (
-                self.counts[self.context[own]] + strength)
+            p[own] = (counts[own] + strength * p[self.suffix[own]]) / (
+                counts[self.context[own]] + strength)
             at += size
-        failing = np.log10(strength / (self.counts[states - 1] + strength))
-        return np.log10(p[taken]) + np.bincount(failed, weights=failing, minlength=len(taken))
+        return p
 
+    def scores(self, path: tuple[np.ndarray, np.ndarray, np.ndarray], owner: np.ndarray, n: int,
+               strength: float) -> np.ndarray:
+        """Log10-probability of each of ``n`` texts: the arcs and failure arcs of a walk.
+        ``owner`` is the text of every token."""
+        taken, failed, states = path
+        arc = np.log10(self._smoothed(0, self.base, strength))
+        failing = np.log10(strength / (self.counts + strength))
+        return np.bincount(owner, weights=arc[taken], minlength=n) + np.bincount(
+            owner[failed], weights=failing[states - 1], minlength=n)
 
-def left_out(grams: Grams, counts: list[np.ndarray], places: np.ndarray, tokens: int, types: int,
-             strength: float) -> np.ndarray:
-    """Log10-probability of the token at each place of training texts, under counts
-    that leave this one occurrence out."""
-    p = counts[0][grams.ids[0][places]] / (tokens + types)
-    for k in range(1, len(counts)):
-        ids = grams.ids[k][places]
-        long = ids >= 0
-        own = counts[k][ids[long]] - 1
-        context = counts[k - 1][grams.ids[k - 1][places[long] - 1]] - 1
-        p[long] = (own + strength * p[long]) / (context + strength)
-    return np.log10(p)
+    def left_out(self, weight: np.ndarray, total: int, strength: float) -> float:
+        """Log10-probability of the training tokens of a batch under counts that leave
+        each one's own occurrence out. ``weight`` counts, for every n-gram, the tokens
+        that it is the longest n-gram of."""
+        used = np.flatnonzero(weight)
+        p = self._smoothed(1, self.counts[:self.sizes[0]] / max(total, 1), strength)
+        return float(weight[used] @ np.log10(p[used]))
 
 
 _SCORED = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -325,22 +327,23 @@ def _score(order: int, tokens: int, types: int, strengths: Sequence[float]):
         single = counts[0][grams.ids[0][places]]
         ends = np.searchsorted(grams.owner[places], np.arange(1, n))
 
-        def sums(values: np.ndarray, ends: np.ndarray) -> list[float]:
-            return [math.fsum(x) for x in np.split(values, ends)][:n]
-
+        owner = grams.owner[places]
         learned = ~np.array(rows.column("held_out").to_pylist(), bool)
-        training = places[learned[grams.owner[places]]]
-        cuts = np.searchsorted(grams.owner[training], np.arange(1, n))
-        spared = [sums(left_out(grams, counts, training, tokens, types, m), cuts)
-                  for m in strengths] if len(strengths) > 1 else [[0.0] * n]
+        longest, at = grams.ids[0].copy(), 0
+        for ids in grams.ids:
+            longest[ids >= 0] = at + ids[ids >= 0]
+            at += int(ids.max(initial=-1)) + 1
+        weight = np.bincount(longest[places[learned[owner]]], minlength=len(automaton.counts))
+        spared = [automaton.left_out(weight, tokens + types, m) for m in strengths]
         columns = (
             rows.column("doc_id"), rows.column("held_out"),
             np.bincount(grams.owner[places], minlength=n).astype(np.int64),
             np.bincount(grams.owner[places][single > 0], minlength=n).astype(np.int64),
             np.full(n, tokens, np.int64),
-            sums(np.log10(automaton.base[grams.ids[0][places]]), ends),
-            list(zip(*[sums(automaton.scores(path, m), ends) for m in strengths])),
-            list(zip(*spared)))
+            [math.fsum(x) for x in np.split(
+                np.log10(automaton.base[grams.ids[0][places]]), ends)],
+            list(np.stack([automaton.scores(path, owner, n, m) for m in strengths], axis=1)),
+            [spared] + [None] * (n - 1))  # of the whole batch, with its first text
         return pa.table(dict(zip(_SCORED_NAMES, columns)))
 
     return run
