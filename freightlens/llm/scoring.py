@@ -18,6 +18,7 @@ of the automaton that its texts can reach, and walks through them once.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -216,8 +217,8 @@ class Automaton:
     context: np.ndarray
     suffix: np.ndarray
     arcs: dict[int, int]
-    target: list[int]
-    back: list[int]
+    target: array
+    back: array
     base: np.ndarray
 
     @classmethod
@@ -238,27 +239,30 @@ class Automaton:
             context[own] = offsets[k - 1] + grams.ids[k - 1][at - 1]
             suffix[own] = offsets[k - 1] + grams.ids[k - 1][at]
             back[1 + offsets[k]:1 + offsets[k + 1]] = 1 + suffix[own]
+            # In the order of the text, so that a walk finds neighbours close together.
             seen = np.flatnonzero(counts[k] > 0)
+            seen = seen[np.argsort(at[seen])]
             keys = (1 + context[own][seen]) * sizes[0] + grams.ids[0][at[seen]]
             arcs.update(zip(keys.tolist(), (offsets[k] + seen).tolist()))
         # The longest n-grams are no states: they lead to their suffix.
         last = slice(offsets[-2], offsets[-1])
         target[last] = 1 + suffix[last] if len(counts) > 1 else 0
-        return cls(sizes, flat, context, suffix, arcs, target.tolist(), back.tolist(),
+        return cls(sizes, flat, context, suffix, arcs, array("q", target.tobytes()),
+                   array("q", back.tobytes()),
                    (flat[:sizes[0]] + 1) / (tokens + types + 1))
 
     def walk(self, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One traversal from left to right that carries the state: the n-gram of the
         arc taken at each token, and token and state of every failure arc on the way."""
         taken, failed, states = [], [], []
-        arcs, target, back, width, state = self.arcs, self.target, self.back, self.sizes[0], 0
+        find, target, back, width, state = self.arcs.get, self.target, self.back, self.sizes[0], 0
         for token, start in zip(grams.ids[0].tolist(), grams.is_start.tolist()):
             if start:
                 state = target[token]
                 continue
             arc = token
             while state:
-                found = arcs.get(state * width + token)
+                found = find(state * width + token)
                 if found is not None:
                     arc = found
                     break
