@@ -1,3 +1,7 @@
+import contextlib
+import io
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +9,8 @@ from freightlens.constants import TARGET
 from freightlens.plans.encoders import EncoderModel, FeatureEncoder, base_features
 from freightlens.plans.features import holiday_features
 from freightlens.models.inputs import CATEGORY_INPUTS, NUMERIC_INPUTS
-from freightlens.plans.screening import by_strength, screening_report
+from freightlens.operators.lookup import attach, stored
+from freightlens.plans.screening import _binned, by_strength, screening_report
 from freightlens.sources import read_category_translation, read_csv_tables
 from freightlens.sources.readers import Tables, read_parquet_tables, write_parquet_tables
 from workloads.queries import FIXTURE_DOMAIN, Inputs
@@ -89,3 +94,36 @@ def test_unknown_states(spark, star):
     odd = base_features(star.limit(5).withColumn("seller_state", F.lit(None).cast("string")), FIXTURE_DOMAIN)
     row = odd.first()
     assert row["same_state"] == 0 and row["state_pair"] is None and row["seller_region"] is None
+
+
+def _largest_method(df):
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code yet
+    with io.StringIO() as text, contextlib.redirect_stdout(text):
+        df.explain("codegen")
+        conf.set("spark.sql.adaptive.enabled", "true")
+        return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())))
+
+
+def test_bins_of_many_features_are_compiled(spark):
+    names = [f"f{i}" for i in range(39)]
+    long = spark.range(50).select(F.lit(1.0).alias("__y"), *[
+        (F.col("id") + i).cast("double").alias(n) for i, n in enumerate(names)]).unpivot(
+        ["__y"], names, "feature", "value")
+    edges = {n: [0.0, 10.0, 20.0, 30.0, 40.0, 99.0] for n in names[1:]} | {"f0": [1.0, 1.0, None]}
+    found = _binned(long, edges, 5).groupBy("feature", "bin").agg(F.count("__y").alias("n"))
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    assert _largest_method(found) < 8000 and limit == "8000"
+    counts = {(r["feature"], r["bin"]): r["n"] for r in found.collect()}
+    assert not any(feature == "f0" for feature, _ in counts)
+    assert [counts["f1", b] for b in range(1, 6)] == [10, 10, 10, 10, 10]
+
+
+def test_stored_tables_have_a_known_size(spark):
+    # The estimate for a join of joins is far beyond what a broadcast may take.
+    many = spark.range(1000).join(spark.range(1000), "id").join(spark.range(1000), "id")
+    table, rows = stored(many.groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+    with io.StringIO() as text, contextlib.redirect_stdout(text):
+        attach(spark.range(10**9).withColumn("k", F.col("id") % 7), table, ["k"]).explain()
+        plan = text.getvalue()
+    assert rows == 7 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
