@@ -5,6 +5,7 @@ import inspect
 import pytest
 
 from freightlens.models import trees
+from freightlens.models.components import principal_components
 from freightlens.models.inputs import CATEGORY_INPUTS, NUMERIC_INPUTS
 from workloads import queries
 
@@ -41,6 +42,36 @@ def test_models_leave_out_no_input(spark, folder, monkeypatch, query, operator):
         assert set(NUMERIC_INPUTS + CATEGORY_INPUTS) <= set(rows.columns)
 
 
+@pytest.mark.parametrize("query, operator", [
+    ("one_hot", "fit_preprocessing"), ("pca_scores", "principal_components"),
+    ("pca_regimes", "principal_components"), ("forest_residuals", "forest_residuals")])
+def test_models_read_items_that_are_joined_once(spark, folder, monkeypatch, query, operator):
+    """Every pass of a fit would repeat a join of orders and items."""
+    plans = []
+
+    def called(df, *args, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        raise Reached
+
+    monkeypatch.setattr(queries, operator, called)
+    with pytest.raises(Reached):
+        queries.QUERIES[query](spark, folder)
+    assert "l_orderkey" not in plans[0] and "o_orderkey" not in plans[0]
+
+
+def test_components_read_their_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(50).selectExpr("cast(id as double) a", "cast(id * id % 7 as double) b")
+    found = principal_components(rows.mapInArrow(count, "a double, b double"), ["a", "b"])
+    assert found.scores.count() == 50 and read.value == 50
+
+
 def test_all_numbers_are_scaled(spark, folder):
     scaled = queries.QUERIES["standardise_impute_all"](spark, folder)
     assert {f"{c}__z" for c in NUMERIC_INPUTS} <= set(scaled.columns)
