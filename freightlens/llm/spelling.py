@@ -281,7 +281,8 @@ def partitions(words: DataFrame, letters: int = PART_LETTERS) -> DataFrame:
         sizes = reliable_checkpoint(sizes.select(
             "prefix", F.when(large, F.left("low", common)).alias("cut"),
             F.ceil(F.col("letters") / letters).alias("parts")))
-        open_ = reliable_checkpoint(open_.join(sizes, "prefix"))
+        # The first prefix is a constant: a join on it would pair all partitions of both sides.
+        open_ = reliable_checkpoint(open_.join(F.broadcast(sizes) if out is None else sizes, "prefix"))
         small = open_.where("cut is null").select(
             F.col("upper").alias("prefix"), (-1 - at("prefix", F.col("bins"))).alias("block"),
             (F.col("prefix") == "").alias("whole"), F.lit(False).alias("stays"), "word", "n")

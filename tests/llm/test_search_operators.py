@@ -89,6 +89,18 @@ def test_spelling_follows_forms_and_very_long_runs(spark):
     assert spelling.group_variants(none).count() == 0
 
 
+def test_spelling_starts_without_pairs_of_partitions(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    words = spark.createDataFrame(
+        [(f"word{i:04}", 5) for i in range(400)], "word string, n long").repartition(16)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        assert spelling.partitions(words).rdd.getNumPartitions() <= 3 * 16
+    finally:
+        spark.conf.set(key, before)
+
+
 # Hard negatives
 
 
