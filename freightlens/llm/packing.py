@@ -25,50 +25,88 @@ PIECE_OCTETS = 4_000_000
 REMEMBERED_CHUNKS = 1_000_000
 
 _ODD = re.compile(r"\s\s|^\s|\s$|<\|")
+# Letters behind a line end or none, and a few marks behind those: tokens of their own.
+_WORD = re.compile(
+    r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~]{0,3})\Z")
 
 
-class ChunkTokenizer:
+class ChunkTokenizer(dict):
     """Token ids of texts by a byte-level tokenizer file.
 
     The tokenizer never joins a word to what stands before the white space in
     front of it, so a text without two white spaces in a row is the concatenation
     of its chunks, each with the space or line end before it. Chunks are encoded
     once and remembered, up to a bound; any other text is encoded whole. Two white
-    spaces in a row, or one at an end, show in a chunk: it is odd. So is one that may
-    hold a special token of the file, which a whole text is encoded with as it stands.
+    spaces in a row, or one at an end, show in a chunk: it is odd, and remembered as
+    None. So is one that may hold a special token of the file, which a whole text is
+    encoded with as it stands.
+
+    Where the file splits texts as GPT-2 does, a space and the letters behind it reach
+    the model as one piece, and so do the marks behind letters: a chunk of letters is
+    given to the model itself, and marks and line ends add their own ids.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.model = self.tokenizer.model
+        self.kind = "<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2"
+        split = self.tokenizer.pre_tokenizer
+        self.plain = self.tokenizer.normalizer is None and isinstance(split, ByteLevel) and (
+            split.use_regex and not split.add_prefix_space) and all(
+            t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values())
+        letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        # Octets as the model has them, for the characters beyond ASCII of a word.
+        self.octets = {c: letters.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.marks: dict[str, bytes] = {}  # of at most three, so never many
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        kind = "<u4" if self.wide else "<u2"
-        return [np.array(e.ids, kind).tobytes() for e in
+        return [np.array(e.ids, self.kind).tobytes() for e in
                 self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _letters(self, text: str) -> bytes:
+        if not text.isascii():
+            text = text.translate(self.octets)
+        return np.array([t.id for t in self.model.tokenize(text)], self.kind).tobytes()
+
+    def _marks(self, text: str) -> bytes:
+        if text not in self.marks:
+            self.marks[text] = self._encode([text])[0]
+        return self.marks[text]
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        if len(self) > REMEMBERED_CHUNKS:
+            self.clear()
+        if self.plain and chunk.isascii() and chunk.isalpha():
+            ids = self._letters("Ġ" + chunk)
+        elif chunk in ("", "\n") or _ODD.search(chunk.removeprefix("\n")):
+            ids = None
+        elif self.plain and (parts := _WORD.match(chunk)):
+            end, word, marks = parts.groups()
+            if end:
+                ids = self._marks(end) + self._letters(word)
+            else:
+                ids = self[word] if marks else self._letters("Ġ" + word)
+            if marks:
+                ids += self._marks(marks)
+        else:
+            ids = self._encode([chunk if chunk[0] == "\n" else " " + chunk])[0]
+        self[chunk] = ids
+        return ids
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED_CHUNKS:
-            self.known.clear()
-            self.odd.clear()
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        known, seen = self.known, set().union(*split)
-        new = list(seen - known.keys())
-        self.odd.update(c for c in new if c in ("", "\n") or _ODD.search(c.removeprefix("\n")))
-        for chunk, ids in zip(new, self._encode([c if c[:1] == "\n" else " " + c for c in new])):
-            known[chunk] = ids
-        odd = seen & self.odd
-        split = [None if odd and not odd.isdisjoint(s) else s for s in split]
-        whole = iter(self._encode([t if s is None else s[0] for t, s in zip(texts, split)]))
-        kind = "<u4" if self.wide else "<u2"
-        return [np.frombuffer(
-            first if s is None else first + b"".join(map(known.__getitem__, s[1:])), kind
-        ).astype("<u4") for s, first in zip(split, whole)]
+        for text in texts:
+            split = text.replace("\n", " \n").split(" ")
+            found = list(map(self.__getitem__, split))
+            if None in found:
+                found = self._encode([text])
+            else:
+                found[0] = self._encode(split[:1])[0]
+            yield np.frombuffer(b"".join(found), self.kind).astype("<u4")
 
 
 # Of this process, so that a worker's next task finds its chunks again.

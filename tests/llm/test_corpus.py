@@ -1,6 +1,7 @@
 """The corpus operators on small tables, against plain Python and in their odd cases."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -99,6 +100,35 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+class Counting:
+    """A tokenizer that counts the texts it encodes."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_words_go_to_the_model():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    same = lambda x: plain.encode(x, add_special_tokens=False).ids
+    words = ["".join(p) for p in itertools.product("abéßÿZ", repeat=4)]
+    texts = [" ".join(words), ", ".join(words) + ".", "\n".join(words) + "!!\nß?"]
+    chunked = packing.ChunkTokenizer(tokenizer_path())
+    chunked.tokenizer = Counting(plain)
+    assert [list(ids) for ids in chunked.encode(texts)] == [same(t) for t in texts]
+    assert chunked.tokenizer.texts < 50
+    odd = ["", " ", "\n", "a", " a", "a ", "\na", "a\n", "a  b", "a \nb", "a\n\nb", "it's don't 's x'll, 'T",
+           "a1 1a a,b a.B x² ª º × ÷ Ωa aΩ, a×, a÷. a,,,, a$$$ (a) a_b _ ... a\tb a,\u00a0b a\u0301 e\u0301,",
+           "x <|endoftext|> y", "a<|endoftext|>,", "a<| b", "a|>", "a< | b", "日本, 語.", "İ ı, ſ. K",
+           "a\u200b, b\u2028c", "a\r\nb, c\r", "a\x85b \x1ca", "AZ[ az{ a` @a a@"]
+    assert [list(ids) for ids in chunked.encode(odd)] == [same(t) for t in odd]
+
+
 def test_dealing_balances_cost():
     lengths = np.array([600, 500, 400, 300, 200, 100, 50, 50])
     sequences = packing.deal(lengths, 1024, 1.0, 1 / 4096)
