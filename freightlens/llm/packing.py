@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightlens.llm.words import chunks
+from freightlens.llm.words import chunks, kept
 
 GROUP_DOCUMENTS = 1500
 PIECE_OCTETS = 4_000_000
@@ -109,10 +109,6 @@ class ChunkTokenizer(dict):
             yield np.frombuffer(b"".join(found), self.kind).astype("<u4")
 
 
-# Of this process, so that a worker's next task finds its chunks again.
-TOKENIZERS: dict[str, ChunkTokenizer] = {}
-
-
 def _pieces(path: str, capacity: int, end: int, groups: int):
     schema = pa.schema([
         ("group", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()),
@@ -123,10 +119,9 @@ def _pieces(path: str, capacity: int, end: int, groups: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in TOKENIZERS:
-            TOKENIZERS[path] = ChunkTokenizer(path)
-        tokenizer = TOKENIZERS[path]
-        for batch in chunks(batches, "text", PIECE_OCTETS):
+        # Kept by this process, so that a worker's next task finds its chunks again.
+        tokenizer = kept(path, lambda: ChunkTokenizer(path))
+        for batch in chunks(batches, "text", PIECE_OCTETS, keep=path):
             rows = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, row, ids in zip(batch.column("doc_id").to_pylist(),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,19 +113,46 @@ def row_key() -> Column:
         F.coalesce("text", F.lit("")))))
 
 
+# What this process keeps from task to task, by its operator's key.
+KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make()`` gave when this process was first asked under ``key``, until
+    :func:`chunks` begins for another operator."""
+    if key not in KEPT:
+        KEPT[key] = make()
+    return KEPT[key]
+
+
+def _release(keep: str | None) -> None:
+    """Drop what other operators have kept here, and give the room that Arrow holds free
+    back to the machine."""
+    for key in KEPT.keys() - {keep}:
+        del KEPT[key]
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str, octets: int,
-           row_octets: int = 64) -> Iterator[pa.RecordBatch]:
+           row_octets: int = 64, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of about so many octets of ``text``, each row
     counting ``row_octets`` more, so that a task's memory follows neither the number
-    of rows in a batch nor their length."""
+    of rows in a batch nor their length.
+
+    Workers outlive tasks and stages, and an executor has several. So a task begins
+    without what operators other than its own (``keep``) have kept, and Arrow's free room
+    goes back after every batch."""
+    _release(keep)
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = np.array([len(x) if x else 0 for x in utf8_values(batch.column(text))])
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
         piece = np.cumsum(sizes + row_octets) // octets
         starts = np.flatnonzero(np.diff(piece, prepend=-1))
         for start, end in zip(starts, [*starts[1:], batch.num_rows]):
             yield batch.slice(start, end - start)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def narrow(values: np.ndarray) -> tuple[bytes, int]:

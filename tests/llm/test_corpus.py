@@ -1,5 +1,6 @@
 """The corpus operators on small tables, against plain Python and in their odd cases."""
 
+import gc
 import hashlib
 import itertools
 import math
@@ -7,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from freightlens.llm import (
     chat, language, mixing, neardup, neighbours, packing, quality, scoring, substrings, urls,
 )
 from freightlens.llm.queries import URL_RULES, tokenizer_path
+from freightlens.llm.words import chunks
 from freightlens.session import ship_package
 
 # Extra columns with names that the operators use inside.
@@ -129,6 +132,31 @@ def test_words_go_to_the_model():
     assert [list(ids) for ids in chunked.encode(odd)] == [same(t) for t in odd]
 
 
+def test_tokenizers_go_when_a_worker_turns_to_another_operator():
+    batch = pa.RecordBatch.from_pydict(
+        {"doc_id": [1, 2], "text": ["a bé c", None], "row": [0, 1]})
+    run = packing._pieces(tokenizer_path(), 1024, 0, 1)
+
+    def here():
+        gc.collect()
+        return [id(x) for x in gc.get_objects() if type(x) is packing.ChunkTokenizer]
+
+    old = here()
+    assert [b.column("length").to_pylist() for b in run(iter([batch]))] == [[5, 1]]
+    packed = here()
+    list(run(iter([batch])))
+    assert here() == packed and len(set(packed) - set(old)) == 1  # the next task finds it
+    list(language._frequencies(iter([batch])))
+    assert not set(packed) & set(here()) - set(old)
+
+
+def test_chunks_count_octets():
+    batch = pa.RecordBatch.from_pydict({"text": ["é" * 40, None, "", "a" * 80, "b"]})
+    cut = list(chunks(iter([batch]), "text", 100, 10))
+    assert [c.num_rows for c in cut] == [1, 2, 2]
+    assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+
+
 def test_dealing_balances_cost():
     lengths = np.array([600, 500, 400, 300, 200, 100, 50, 50])
     sequences = packing.deal(lengths, 1024, 1.0, 1 / 4096)
