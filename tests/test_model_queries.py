@@ -3,6 +3,7 @@
 import inspect
 
 import pytest
+from pyspark.sql import functions as F
 
 from freightlens.models import trees
 from freightlens.models.components import principal_components
@@ -42,6 +43,25 @@ def test_models_leave_out_no_input(spark, folder, monkeypatch, query, operator):
         assert set(NUMERIC_INPUTS + CATEGORY_INPUTS) <= set(rows.columns)
 
 
+@pytest.mark.parametrize("query", ["boosted_rmse", "model_roundtrip"])
+def test_boosted_queries_grow_all_rounds(spark, folder, monkeypatch, query):
+    signature = inspect.signature(trees.fit_boosted_trees)
+    rounds = []
+    rows = spark.range(1).select(*[F.lit(0).alias(c) for c in queries.MODEL_COLUMNS])
+    monkeypatch.setattr(queries, "_training", lambda t: (None, rows, rows))
+
+    def called(*args, **options):
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        rounds.append(bound.arguments["rounds"])
+        raise Reached
+
+    monkeypatch.setattr(queries, "fit_boosted_trees", called)
+    with pytest.raises(Reached):
+        queries.QUERIES[query](spark, folder)
+    assert rounds == [signature.parameters["rounds"].default] == [500]
+
+
 @pytest.mark.parametrize("query, operator", [
     ("one_hot", "fit_preprocessing"), ("pca_scores", "principal_components"),
     ("pca_regimes", "principal_components"), ("forest_residuals", "forest_residuals")])
