@@ -189,7 +189,7 @@ class Mixture:
             "source string, no_source boolean, source_no long, source_size long, target double")
         documents = sum(r["n"] for r in sources)
         joined = sizes.join(
-            numbers, sizes["source"].eqNullSafe(numbers["source"]), "left").select(
+            F.broadcast(numbers), sizes["source"].eqNullSafe(numbers["source"]), "left").select(
             sizes["doc_id"], sizes["source"], *KEY, "size", "source_no", "source_size", "target")
         self.sizes = joined.drop("source_no")
         chunks = max(1, -(-documents // CHUNK_DOCUMENTS))
@@ -222,7 +222,9 @@ class Mixture:
         taken = numbered_slots.mapInArrow(
             _slots(blocks, keys, MOST_EPOCHS),
             "shard long, source_no long, block long, epoch long")
-        self.slices = parts.join(taken, ["source_no", "block"]).select(
+        # A few shards draw very many slots, which the optimizer does not see: without the
+        # hint it would broadcast them all.
+        self.slices = parts.join(taken.hint("merge"), ["source_no", "block"]).select(
             *KEY, "start", "length", "epoch", "shard")
 
 

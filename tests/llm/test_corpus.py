@@ -183,6 +183,17 @@ def test_mixing(docs, none):
     assert mixing.mixed_documents(docs.where("text = ''")).count() == 0
 
 
+def test_mixing_broadcasts_neither_slots_nor_sizes(docs):
+    """Both grow with the corpus; only sources and sums of chunks are small."""
+    mix = mixing.Mixture(docs)
+    for frame in (mix.slices, mix.sizes):
+        plan = frame._jdf.queryExecution().sparkPlan().toString().splitlines()
+        joins = [line for line in plan if "BroadcastHashJoin" in line]
+        assert not [line for line in joins if "block#" in line or "BuildLeft" in line]
+    assert any("SortMergeJoin" in line and "block#" in line for line in
+               mix.slices._jdf.queryExecution().sparkPlan().toString().splitlines())
+
+
 def test_permutation_takes_every_index_once():
     for n in (1, 2, 3, 17, 64, 1000):
         out = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 99, np.uint64))
