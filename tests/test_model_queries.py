@@ -104,3 +104,17 @@ def test_all_categories_are_encoded(spark, folder):
     hot = queries.QUERIES["one_hot"](spark, folder)
     assert set(CATEGORY_INPUTS) <= set(hot.columns)
     assert {r.ones for r in hot.collect()} == {float(len(CATEGORY_INPUTS))}
+
+
+def test_order_totals_are_those_of_each_side(spark, folder, monkeypatch):
+    """Rows of test add nothing to the totals of training."""
+    class Fitted:
+        def fit(self, train, **options):
+            return None
+
+    monkeypatch.setattr(queries, "FeatureEncoder", lambda domain: Fitted())
+    _, train, test = queries._split(queries.Inputs(spark, folder))
+    for side in (train, test):
+        assert "items_per_order" not in side.columns
+        kept = side.select(*queries.TRAINED)
+        assert kept.count() == kept.na.drop(subset=["product_weight_g", "freight_value", "price"]).count() > 0

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from freightlens.constants import TARGET
 from freightlens.plans.encoders import EncoderModel, FeatureEncoder, base_features
-from freightlens.plans.features import holiday_features
+from freightlens.plans.features import holiday_features, with_order_totals
 from freightlens.models.inputs import CATEGORY_INPUTS, NUMERIC_INPUTS
 from freightlens.operators.lookup import attach, stored
 from freightlens.plans.screening import _binned, by_strength, screening_report
+from freightlens.plans.star import build_star, store_columns
+from freightlens.sources.fixture import fixture_tables
 from freightlens.sources import read_category_translation, read_csv_tables
 from freightlens.sources.readers import Tables, read_parquet_tables, write_parquet_tables
 from workloads.queries import FIXTURE_DOMAIN, Inputs
@@ -127,3 +129,47 @@ def test_stored_tables_have_a_known_size(spark):
         attach(spark.range(10**9).withColumn("k", F.col("id") % 7), table, ["k"]).explain()
         plan = text.getvalue()
     assert rows == 7 and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_only_stored_columns_can_be_read(spark):
+    star = spark.range(3).selectExpr("id", "cast(id as double) a", "cast(id as string) b")
+    kept = store_columns(star, ["id", "a"])
+    assert kept.schema == star.schema
+    assert [tuple(r) for r in kept.orderBy("id").select("id", "a").collect()] == [(0, 0.0), (1, 1.0), (2, 2.0)]
+    with pytest.raises(Exception, match="b was not stored"):
+        kept.select("b").collect()
+
+
+def test_a_table_of_known_size_is_broadcast(spark):
+    fact, table = spark.range(9).withColumnRenamed("id", "k"), spark.range(5).selectExpr("id k", "id v")
+
+    def joins(rows):
+        plan = attach(fact, table, ["k"], rows)._jdf.queryExecution().sparkPlan().toString()
+        return "BroadcastHashJoin" in plan
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert joins(5) and not joins(10**9) and not joins(None)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_items_meet_their_order_last(spark, folder):
+    """Products and sellers meet the items while these are narrow, and order totals find
+    rows that are dealt by order already."""
+    star = build_star(fixture_tables(spark, folder))
+    top = star._jdf.queryExecution().analyzed().toString().splitlines()
+    joins = [line for line in top if "Join Inner" in line]
+    assert "order_id" in joins[0]
+    rows = star.select("order_id", "price").collect()
+    totals = with_order_totals(star).select("order_id", "order_total_price", "items_per_order")
+    sums = {}
+    for r in rows:
+        n, total = sums.get(r["order_id"], (0, 0.0))
+        sums[r["order_id"]] = n + 1, total + (r["price"] or 0.0)
+    found = totals.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        n, total = sums[r["order_id"]]
+        assert r["items_per_order"] == n and r["order_total_price"] == pytest.approx(total)
